@@ -36,6 +36,10 @@ _LATIN = re.compile(r"[A-Za-zÀ-ɏ]+")
 _MARKS = {"de": re.compile(r"[äöüß]"), "fr": re.compile(r"[àâçèêëîïôùûœ]|\b[ldsqcnj]['’]"), "es": re.compile(r"[ñ¿¡áíóú]")}
 
 
+def is_function_word(word: str) -> bool:
+    return word in _BY_WORD
+
+
 def scores(words: list[str]) -> Counter:
     found: Counter = Counter()
     for word in words:

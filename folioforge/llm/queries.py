@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.llm.conversations import conversations, dropped_sessions
 from folioforge.llm.messages import PLACEHOLDERS, ROLES
 from folioforge.llm.pairs import broken_pairs
+from folioforge.llm.sentences import sentences
 from folioforge.session import table
 
 
@@ -22,6 +23,10 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "chat_messages"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"))
+
+
 def _listed(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -55,7 +60,12 @@ WITH rows AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_conversations": p2_conversations,
+    "p8_found": p8_found,
+}
 SQL = {
     "p2_found": P2_VERDICTS + "SELECT session_id, reason FROM verdicts WHERE reason IS NOT NULL",
     "p2_conversations": P2_VERDICTS + """SELECT k.session AS session_id, CAST(k.pos - 1 AS INTEGER) AS turn, k.role, k.content, k.id, k.sent AS create_time
