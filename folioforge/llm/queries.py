@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioforge.llm.conversations import conversations, dropped_sessions
+from folioforge.llm.leakage import leaked_items
 from folioforge.llm.messages import PLACEHOLDERS, ROLES
 from folioforge.llm.pairs import broken_pairs
 from folioforge.llm.sentences import sentences
@@ -23,6 +25,16 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "chat_messages"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item how many documents hold it, and the largest share."""
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
@@ -64,6 +76,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
     "p8_found": p8_found,
 }
 SQL = {

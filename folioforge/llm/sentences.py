@@ -46,10 +46,11 @@ _CLOSED = re.compile(rf"[{_STOPS}:：](?:[   ]?»|[”’“」』）)\]】\"
 
 @dataclass
 class Model:
-    """abbreviations never end a sentence; openers are lower-case words that begin one; inner words never do."""
+    """abbreviations never end a sentence; starters and (in lower case) openers begin one; inner words never do."""
 
     abbreviations: frozenset[str] = NEVER_LAST
     openers: frozenset[str] = frozenset()
+    starters: frozenset[str] = frozenset()
     inner: frozenset[str] = frozenset()
 
 
@@ -87,6 +88,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
     dots = stop.strip("….") == "" and len(stop) > 1 or stop == "…"
     wide = any(c in _WIDE for c in stop) or (dots and bool(_CJK.match(text, right)))
     score = 1.5 if stop == "." else 2.0
+    low = ""
     if after in ",;:，；：、)）]】»”」』%":
         return None
     if last in "”」』“\"»" and left - cand.start() > len(stop):
@@ -124,7 +126,13 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
     else:
         inner = opener in model.inner
     if after.islower() and not one_case:
-        score += 1.5 if opener in model.openers else -4
+        if opener in model.openers:
+            score += 1.5
+        elif not dots and opener.capitalize() in model.starters and (stop != "." or len(low) > 3 and low not in model.abbreviations):
+            # a passage put in lower case: an ordinary word, a stop, and a word that opens sentences elsewhere
+            score += 0.5
+        else:
+            score -= 4
     elif inner and (stop == "." or dots):
         score -= 4
     else:
@@ -313,6 +321,7 @@ def learn_model(documents: DataFrame, text: str = "text", size: int = MODEL_SIZE
     lists = {
         "abbreviations": seen.filter((F.col("mid") >= LEAST) & (share("end", "mid") < CLOSES) & F.col("word").rlike(r"\p{L}")).withColumn("n", F.col("mid")),
         "openers": seen.filter((F.col("start") >= LEAST) & (share("start", "after") >= OPENS)).filter(F.col("word").rlike(r"^\p{Ll}")).withColumn("n", F.col("start")),
+        "starters": seen.filter((F.col("start") >= LEAST) & (share("start", "after") >= OPENS)).filter(F.col("word").rlike(r"^\p{Lu}")).withColumn("n", F.col("start")),
         "inner": seen.filter((F.col("after") >= LEAST) & (share("start", "after") < OPENS / 3)).withColumn("n", F.col("after")),
     }
     chosen = None
@@ -321,7 +330,7 @@ def learn_model(documents: DataFrame, text: str = "text", size: int = MODEL_SIZE
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = chosen.collect()
     pick = lambda kind: frozenset(r["word"] for r in rows if r["kind"] == kind)
-    return Model(NEVER_LAST | pick("abbreviations"), pick("openers"), pick("inner"))
+    return Model(NEVER_LAST | pick("abbreviations"), pick("openers"), pick("starters"), pick("inner"))
 
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
