@@ -68,7 +68,7 @@ def linked_messages(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFr
     once; order is time, then id, nulls first; rows that differ but share an id stay apart.
     """
     rows = in_sessions(chat).filter((F.col("role") != "system") & says_something(F.col("content")))
-    rows = sliced(rows, long_session)
+    rows = sliced(rows, chat, long_session)
     order = Window.partitionBy("session", "slice").orderBy(F.col("at"), F.col("id"), F.col("context").desc(), "role", "content")
     same = F.lit(True)
     for c in ("at", "id", "role", "content"):

@@ -18,11 +18,14 @@ PLACEHOLDERS = [
     "leer", "keine", "vide", "néant", "vacío", "ninguno", "なし", "ไม่มี", "कोई नहीं",
 ]
 
-BLANK = r"[\s 　​﻿]"
+#: What counts as an outer blank.
+BLANKS = " \t\r\n\x0b\x0c\u00a0\u3000\u200b\ufeff"
+#: Longer contents are never placeholders.
+LONGEST_PLACEHOLDER = 40
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def role_of(role: Column) -> Column:
@@ -37,7 +40,8 @@ def role_of(role: Column) -> Column:
 def says_something(content: Column) -> Column:
     """False if content is null, holds no letter or digit of any script, or only stands for an absent value."""
     bare = F.lower(F.regexp_replace(content, r"[^\p{L}\p{M}\p{N}/ ]+", ""))
-    return F.coalesce(content.rlike(r"[\p{L}\p{N}]") & ~strip(bare).isin(PLACEHOLDERS), F.lit(False))
+    real = (F.length(content) > LONGEST_PLACEHOLDER) | ~strip(bare).isin(PLACEHOLDERS)
+    return F.coalesce(content.rlike(r"[\p{L}\p{N}]") & real, F.lit(False))
 
 
 def in_sessions(chat: DataFrame) -> DataFrame:
@@ -55,19 +59,23 @@ def in_sessions(chat: DataFrame) -> DataFrame:
 LONG_SESSION = 200_000
 
 
-def sliced(rows: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
+def sliced(rows: DataFrame, chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
     """Adds ``slice`` and ``context``: order within a session may then be worked out per (session, slice).
 
     Sessions of usual length form one slice. A long one is cut by time into slices of about ``long_session`` rows,
     and the last row of each slice is repeated with context = true at the head of the next, so that every row still
     finds its predecessor. More than a thousandth of all rows are needed to be long, so at most 1000 sessions are.
+    Sizes are counted over all rows of ``chat``, from two columns of it.
     """
     rows = rows.withColumn("slice", F.lit(0)).withColumn("context", F.lit(False))
     micros = F.unix_micros(F.col("at").cast("timestamp"))
-    sizes = rows.groupBy("session").agg(
-        F.count(F.lit(1)).alias("n"), F.min(micros).alias("begin"), F.max(micros).alias("end")
+    sent = F.unix_micros(F.col("create_time").cast("timestamp"))
+    sizes = (
+        chat.filter(F.col("session_id").isNotNull())
+        .groupBy(F.lower(strip(F.col("session_id"))).alias("session"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(sent).alias("begin"), F.max(sent).alias("end"))
     )
-    limit = max(long_session, rows.count() // 1000)
+    limit = max(long_session, chat.count() // 1000)  # the count comes from the files' footers
     long = sizes.filter(F.col("n") > limit).limit(1001).collect()
     if not long:
         return rows

@@ -28,7 +28,7 @@ def answer_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame
     System rows are left out, exact repeats count once. Rows of null session, of unreadable role or of a question that
     says nothing give no pair; they still stand between their neighbours.
     """
-    rows = sliced(in_sessions(chat).filter(F.col("role") != "system"), long_session)
+    rows = sliced(in_sessions(chat).filter(F.col("role") != "system"), chat, long_session)
     order = Window.partitionBy("session", "slice").orderBy(F.col("at"), F.col("id"), F.col("context").desc(), "role", "content")
     same = F.lit(True)
     for c in ("at", "id", "role", "content"):

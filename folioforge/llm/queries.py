@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.conversations import conversations, dropped_sessions
 from folioforge.llm.leakage import leaked_items
-from folioforge.llm.messages import PLACEHOLDERS, ROLES
+from folioforge.llm.messages import BLANKS, PLACEHOLDERS, ROLES
+from folioforge.llm.mixing import mixture, mixture_report, sampled_shares
 from folioforge.llm.pairs import broken_pairs
 from folioforge.llm.sentences import sentences
 from folioforge.session import table
@@ -35,6 +36,22 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return report.filter("short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that a drawn mixture holds, against the targets."""
+    drawn = sampled_shares(mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+    targets = table(spark, sf_dir, "mix_targets").select("source", "target_share")
+    return drawn.join(targets, "source", "left")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
@@ -43,8 +60,7 @@ def _listed(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-_BLANKS = " \t\r\n\x0b\x0c" + "\u00a0\u3000\u200b\ufeff"
-_TRIM = f"'{_BLANKS}'"
+_TRIM = f"'{BLANKS}'"
 _ROLE = "CASE " + " ".join(
     f"WHEN lower(trim(role, {_TRIM})) IN ({_listed(names)}) THEN '{role}'" for role, names in ROLES.items()
 ) + " ELSE 'unreadable' END"
@@ -78,6 +94,9 @@ QUERIES = {
     "p2_conversations": p2_conversations,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_sampled": p7_sampled,
     "p8_found": p8_found,
 }
 SQL = {
