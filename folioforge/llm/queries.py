@@ -9,6 +9,7 @@ from folioforge.llm.conversations import conversations, dropped_sessions
 from folioforge.llm.leakage import leaked_items
 from folioforge.llm.messages import BLANKS, PLACEHOLDERS, ROLES
 from folioforge.llm.mixing import mixture, mixture_report, sampled_shares
+from folioforge.llm.neighbours import current_rows, nearest_vectors, similar_pairs
 from folioforge.llm.pairs import broken_pairs
 from folioforge.llm.sentences import sentences
 from folioforge.session import table
@@ -26,6 +27,12 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "chat_messages"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = table(spark, sf_dir, "vector_store")
+    rows = current_rows(store, "id", "ord", {"doc": F.col("metadata.documentid"), "embedding": F.col("embedding")})
+    return similar_pairs(nearest_vectors(rows, fit_on=store, expected=store.count()))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -92,6 +99,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p7_found": p7_found,
