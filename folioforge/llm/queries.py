@@ -11,6 +11,7 @@ from folioforge.llm.messages import BLANKS, PLACEHOLDERS, ROLES
 from folioforge.llm.mixing import mixture, mixture_report, sampled_shares
 from folioforge.llm.neighbours import current_rows, nearest_vectors, similar_pairs
 from folioforge.llm.pairs import broken_pairs
+from folioforge.llm.scanned import page_noise, repaired_pages
 from folioforge.llm.sentences import sentences
 from folioforge.session import table
 
@@ -33,6 +34,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(nearest_vectors(rows, fit_on=store, expected=store.count()))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_noise(table(spark, sf_dir, "documents")).select("doc_id", "line_no", "defect").distinct()
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_pages(table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -100,6 +109,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p7_found": p7_found,
