@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.bloom import bloom_filter, might_contain
+from folioforge.session import cut
 
 #: The index is fitted on at most this many vectors, chosen by a hash of their ids; all vectors are indexed.
 SAMPLE = 20_000
@@ -361,7 +362,8 @@ def nearest_vectors(
             yield _route(shared.value, batch)
 
     routed = classes.select("id", "doc", "embedding", "rows", "many").mapInArrow(route, _ROUTED_DDL)
-    hits = routed.groupBy("block", "salt").applyInArrow(lambda t: _join_block(t, dim, neighbours, least), _HITS_DDL)
+    # only findings are left after this; both branches below read them
+    hits = cut(routed.groupBy("block", "salt").applyInArrow(lambda t: _join_block(t, dim, neighbours, least), _HITS_DDL))
 
     candidate = F.struct((-F.col("similarity")).alias("far"), F.col("row.id").alias("id"), F.col("row.doc").alias("doc"))
     best = (
