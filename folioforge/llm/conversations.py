@@ -13,14 +13,28 @@ from folioforge.llm.messages import LONG_SESSION, in_sessions, says_something, s
 from folioforge.session import cut
 
 
-def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+#: How many messages up the first pointer of a session reaches; its window hands it out with the parent.
+STRIDE = 16
+
+
+def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent", far: str | None = None) -> DataFrame:
     """For each node (root, depth, fate), fate being ``rooted``, ``orphan`` or ``cycle``.
 
     A null parent makes a root; a parent that is no node makes an orphan root, and all below it are orphans; nodes on a
     cycle, or that lead into one, are cycles with null root and depth. In each round every open node jumps to the
     ancestor its ancestor has reached, so a chain of n nodes takes log2(n) joins, on two ids and a counter per row.
-    Rows without progress in a round can make none later. Repeated nodes (same id) must be removed before.
+    Rows without progress in a round can make none later. Repeated nodes (same id) must be removed before. ``far`` may
+    name a struct column (node, hops, open) with a sound ancestor further up, where one is at hand; jumping starts there.
     """
+    if far is not None:
+        state = nodes.select(
+            F.col(node).alias("node"),
+            F.col(f"{far}.node").alias("ancestor"),
+            F.col(f"{far}.hops").cast("long").alias("hops"),
+            F.col(f"{far}.open").alias("open"),
+            F.lit(False).alias("orphan"),
+        ).filter(F.col("node").isNotNull())
+        return _jump(state)
     links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).filter(F.col("node").isNotNull())
     held = links.select(F.col("node").alias("parent"), F.lit(True).alias("held"))
     state = links.join(held, "parent", "left").select(
@@ -30,6 +44,11 @@ def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent")
         F.coalesce("held", F.lit(False)).alias("open"),
         (F.col("parent").isNotNull() & F.col("held").isNull()).alias("orphan"),
     )
+    return _jump(state)
+
+
+def _jump(state: DataFrame) -> DataFrame:
+    """Rounds of jumps until no node is open or none of them gets further."""
     state = cut(state)
     left = state.filter("open").count()
     while left:
@@ -64,12 +83,13 @@ def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent")
 def linked_messages(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
     """Messages that say something, system rows left out, each with a pointer to the one before it in its session.
 
-    (node, parent, session, id, role, content, at, parent_role). Exact repeats (same id, time, role and content) count
+    (node, parent, session, id, role, content, at, parent_role, far). Exact repeats (same id, time, role and content) count
     once; order is time, then id, nulls first; rows that differ but share an id stay apart.
     """
     rows = in_sessions(chat).filter((F.col("role") != "system") & says_something(F.col("content")))
     rows = sliced(rows, chat, long_session)
-    order = Window.partitionBy("session", "slice").orderBy(F.col("at"), F.col("id"), F.col("context").desc(), "role", "content")
+    order_columns = [F.col("at"), F.col("id"), F.col("context").desc(), F.col("role"), F.col("content")]
+    order = Window.partitionBy("session", "slice").orderBy(*order_columns)
     same = F.lit(True)
     for c in ("at", "id", "role", "content"):
         same = same & F.lag(c).over(order).eqNullSafe(F.col(c))
@@ -82,11 +102,24 @@ def linked_messages(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFr
         F.xxhash64(F.col("at").cast("string"), "role", "content").alias("v"),
     )
     rows = rows.drop("again").withColumn("node", node)
+    up = F.row_number().over(order) - 1
+    whole = Window.partitionBy("session", "slice").orderBy(*order_columns).rowsBetween(-STRIDE, Window.currentRow)
+    farthest = F.first(F.struct("node", "context")).over(whole)
     return (
         rows.withColumn("parent", F.lag("node").over(order))
         .withColumn("parent_role", F.lag("role").over(order))
+        .withColumn("up", up)
+        .withColumn("farthest", farthest)
         .filter(~F.col("context"))
-        .select("node", "parent", "session", "id", "role", "content", "at", "parent_role")
+        .withColumn(
+            "far",
+            F.struct(
+                F.col("farthest.node").alias("node"),
+                F.least(F.col("up"), F.lit(STRIDE)).alias("hops"),
+                ((F.col("up") > STRIDE) | F.col("farthest.context")).alias("open"),
+            ),
+        )
+        .select("node", "parent", "session", "id", "role", "content", "at", "parent_role", "far")
     )
 
 
@@ -129,9 +162,9 @@ def session_verdicts(chat: DataFrame, resolved: DataFrame | None = None, long_se
 def resolved_messages(chat: DataFrame, long_session: int = LONG_SESSION, with_content: bool = False) -> DataFrame:
     """linked_messages with (root, depth, fate) of each; content stays behind unless asked for."""
     linked = linked_messages(chat, long_session)
-    kept = ["node", "parent", "session", "id", "role", "at", "parent_role"] + (["content"] if with_content else [])
+    kept = ["node", "parent", "session", "id", "role", "at", "parent_role", "far"] + (["content"] if with_content else [])
     linked = cut(linked.select(*kept))
-    return linked.drop("parent").join(resolve_paths(linked), "node")
+    return linked.drop("parent", "far").join(resolve_paths(linked, far="far"), "node")
 
 
 def conversations(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
