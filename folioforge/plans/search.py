@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge import pipeline
 from folioforge.operators import context, retrieval, vectors
 from folioforge.plans import sql_text
 from folioforge.session import table
@@ -134,6 +135,23 @@ def ctx_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("length"), F.md5(c).alias("context"))
 
 
+def ask_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document asked with its first chunk: the five chunks of it that are most similar."""
+    rows = _current(spark, sf_dir)
+    asked = rows.filter(F.col("id").endswith(":chunk:0") & F.col("embedding").isNotNull()).select(F.col("id").alias("question_id"), "document_id", "embedding")
+    return pipeline.hits_for(rows, asked, 5, 6).select("question_id", "place", "id", "score")
+
+
+def ask_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context each of those questions gets; documents without chunks give their text."""
+    rows = _current(spark, sf_dir)
+    first = rows.filter(F.col("id").endswith(":chunk:0")).select("document_id", "embedding").filter(F.col("document_id").isNotNull())
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "title", F.col("text").alias("content"))
+    asked = documents.select(F.col("id").alias("document_id")).join(first, "document_id", "left").withColumn("question_id", F.col("document_id"))
+    hits = pipeline.hits_for(rows, asked.filter(F.col("embedding").isNotNull()), 5, 6)
+    return pipeline.question_contexts(hits, asked, documents).select("question_id", F.md5("context").alias("context"))
+
+
 CURRENT = """(SELECT id, text, metadata.documentid AS document_id, metadata.documenttitle AS title, embedding, ord FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM vector_store WHERE id IS NOT NULL) WHERE rn = 1)"""
 _Q = f"(SELECT embedding FROM vector_store WHERE id = '{QUERY_ID}' ORDER BY ord DESC LIMIT 1)"
@@ -167,11 +185,16 @@ _FUSED = f"""
 _TRIM = sql_text("".join(map(chr, range(33))))
 _N = "chr(10)"
 
+_ASK = f"""SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord) AS INTEGER) AS place FROM (
+    SELECT q.id AS question_id, q.document_id AS question, r.id, r.ord, r.title, r.text, round({_cos("r.embedding", "q.embedding")}, 6) AS score
+    FROM {CURRENT} q JOIN {CURRENT} r ON q.document_id = r.document_id WHERE q.id LIKE '%:chunk:0' AND q.embedding IS NOT NULL)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         vec_current, vec_topk, vec_topk_filtered, vec_topk_in, vec_topk_batch, vec_cosine, vec_delete_ids, vec_delete_doc, vec_delete_logged,
         vec_upsert, query_terms, kw_topk, kw_scores, hybrid_rrf, ctx_blocks, ctx_budget, ctx_truncate,
+        ask_retrieve, ask_context,
     )
 }
 SQL = {
@@ -208,6 +231,11 @@ SQL = {
       j AS (SELECT notebook_id, string_agg(piece, '' ORDER BY doc_id) || CASE WHEN max(total) > 50000 THEN {_N} || '...（更多文档内容因长度限制未纳入上下文）' ELSE '' END AS context FROM p GROUP BY notebook_id)
       SELECT n.notebook_id, CAST(length(coalesce(context, '该笔记本下的文档内容均为空，无法回答问题。')) AS INTEGER) AS length, md5(coalesce(context, '该笔记本下的文档内容均为空，无法回答问题。')) AS context
       FROM (SELECT DISTINCT notebook_id FROM documents WHERE notebook_id IS NOT NULL) n LEFT JOIN j ON n.notebook_id = j.notebook_id""",
+    "ask_retrieve": f"SELECT question_id, place, id, score FROM ({_ASK}) WHERE place <= 5",
+    "ask_context": f"""WITH c AS (SELECT question AS question_id, string_agg('[' || place || '] 来源：' || coalesce(title, '未知文档') || {_N} || text, {_N} || {_N} || '---' || {_N} || {_N} ORDER BY place) AS context
+        FROM ({_ASK}) WHERE place <= 5 AND question IN (SELECT doc_id FROM documents) GROUP BY question)
+      SELECT d.doc_id AS question_id, md5(coalesce(c.context, CASE WHEN length(text) > 8000 THEN left(text, 8000) || {_N} || '...（内容已截断）' ELSE coalesce(text, '') END)) AS context
+      FROM documents d LEFT JOIN c ON d.doc_id = c.question_id""",
     "ctx_truncate": f"""SELECT doc_id, CAST(length(c) AS INTEGER) AS length, md5(c) AS context FROM (
         SELECT doc_id, CASE WHEN length(repeat(text, 10)) > 8000 THEN left(repeat(text, 10), 8000) || {_N} || '...（内容已截断）' ELSE repeat(text, 10) END AS c FROM documents)""",
 }
