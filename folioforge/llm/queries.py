@@ -9,10 +9,11 @@ from folioforge.llm.conversations import conversations, dropped_sessions
 from folioforge.llm.leakage import leaked_items
 from folioforge.llm.messages import BLANKS, PLACEHOLDERS, ROLES
 from folioforge.llm.mixing import mixture, mixture_report, sampled_shares
-from folioforge.llm.neighbours import current_rows, nearest_vectors, similar_pairs
+from folioforge.llm.neighbours import nearest_vectors, similar_pairs
 from folioforge.llm.pairs import broken_pairs
 from folioforge.llm.scanned import page_noise, repaired_pages
 from folioforge.llm.sentences import sentences
+from folioforge.operators.vectors import current_rows
 from folioforge.session import table
 
 

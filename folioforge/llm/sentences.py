@@ -118,7 +118,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
             score -= 6
         if not spaced:
             # a lost space: letters before, a word that opens sentences after
-            if not (len(low) > 2 and low.isalpha() and after.isupper()):
+            if not (len(low) > 1 and low.isalpha() and after.isupper() and (len(low) > 2 or _opening_word(text, right) in model.starters)):
                 return None if not _CJK.match(text, cand.start() - 1) else (score, left, right)
     opener = _opening_word(text, right if after not in "“„«「『（([\"¿¡'" else right + 1)
     if one_case:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.llm import neighbours as nb
+from folioforge.operators.vectors import current_rows
 
 SCHEMA = "id string, doc long, embedding array<double>, vector string"
 
@@ -72,7 +73,7 @@ def test_odd_rows(spark):
 def test_only_the_highest_version(spark):
     v, w = np.ones(64).tolist(), np.r_[np.ones(32), -np.ones(32)].tolist()
     df = spark.createDataFrame([("a", 1, v, 1), ("a", 1, w, 2), ("a", 1, w, 2), ("b", 2, v, 1), ("c", 3, w, 9)], "id string, doc long, embedding array<double>, ord long")
-    rows = nb.current_rows(df, "id", "ord", {"doc": F.col("doc"), "embedding": F.col("embedding")})
+    rows = current_rows(df, "id", "ord", {"doc": F.col("doc"), "embedding": F.col("embedding")})
     assert {tuple(r) for r in nb.similar_pairs(nb.nearest_vectors(rows)).collect()} == {("a", "c")}
 
 
