@@ -21,7 +21,7 @@ from folioforge.session import cut
 
 #: The index is fitted on at most this many vectors, chosen by a hash of their ids; all vectors are indexed.
 SAMPLE = 20_000
-#: Entries of a block beyond which it is salted, and vectors per cell that the number of centroids aims at.
+#: Entries of a block beyond which it is parted, and vectors per cell that the number of centroids aims at.
 BLOCK_ROWS = 50_000
 CELL_ROWS = 100
 #: Products held at once in a block.
@@ -74,7 +74,7 @@ def gathered_copies(rows: DataFrame, neighbours: int, n: int) -> tuple[DataFrame
 
 @dataclass
 class MultiIndex:
-    """Centroids of the two halves, and into how many parts each first-half block is salted."""
+    """Centroids of the two halves, and into how many parts each first-half block is split by its second halves."""
 
     halves: tuple[np.ndarray, np.ndarray]
     salts: np.ndarray
@@ -132,7 +132,7 @@ def fit_index(rows: DataFrame, n: int, dim: int, probes: int, sample: int = SAMP
     index = MultiIndex((k_means(points[:, :cut], k), k_means(points[:, cut:], k, seed=1)), np.ones(k, int), dim, probes)
     first = index.distances(points)[0].argmin(axis=1)
     expected = np.bincount(first, minlength=len(index.halves[0])) * (n / len(points))
-    index.salts = np.maximum(1, np.ceil(expected / BLOCK_ROWS)).astype(int)
+    index.salts = np.clip(np.ceil(expected / BLOCK_ROWS), 1, len(index.halves[1])).astype(int)
     return index
 
 
@@ -183,24 +183,19 @@ def _route(index: MultiIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
     first, second = index.distances(units)
     a, b = nearest_cells(first, second, index.probes)
     packed = np.round(units * _SCALE).astype(np.int16)
-    # one copy per distinct first half, and per salt of its block
-    order = np.argsort(a, axis=1, kind="stable")
-    sorted_a, sorted_b = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1)
+    # one copy per distinct block and part of it
     n, t = a.shape
-    flat_a, flat_b, owner = sorted_a.ravel(), sorted_b.ravel(), np.repeat(np.arange(n), t)
-    new = np.r_[True, (flat_a[1:] != flat_a[:-1]) | (owner[1:] != owner[:-1])]
+    part = b % index.salts[a]
+    order = np.lexsort((part, a), axis=1)
+    flat_a, flat_p, flat_b = (np.take_along_axis(x, order, 1).ravel() for x in (a, part, b))
+    owner = np.repeat(np.arange(n), t)
+    new = np.r_[True, (flat_a[1:] != flat_a[:-1]) | (flat_p[1:] != flat_p[:-1]) | (owner[1:] != owner[:-1])]
     begins = np.nonzero(new)[0]
-    ends = np.r_[begins[1:], len(flat_a)]
-    who, block = owner[begins], flat_a[begins]
-    copies = index.salts[block]
-    take = np.repeat(np.arange(len(begins)), copies)
-    salt = np.arange(len(take)) - np.repeat(np.cumsum(copies) - copies, copies)
-    who, block, own = who[take], block[take], a[:, 0]
-    home = np.array([hash_of(packed[i]) for i in range(n)]) if (index.salts > 1).any() else np.zeros(n, int)
-    entry = (block == own[who]) & (salt == home[who] % index.salts[block])
-    lengths = (ends - begins)[take]
+    who, block, salt = owner[begins], flat_a[begins], flat_p[begins]
+    entry = (block == a[who, 0]) & (salt == part[who, 0])
+    lengths = np.diff(np.r_[begins, len(flat_a)])
     offsets = np.r_[0, np.cumsum(lengths)]
-    values = flat_b[np.repeat(begins[take] - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    values = flat_b
     source = pa.array(rows[who])
     size = index.dim * 2
     vectors = pa.Array.from_buffers(
@@ -217,10 +212,6 @@ def _route(index: MultiIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def hash_of(vector: np.ndarray) -> int:
-    return int(np.frombuffer(vector.tobytes(), np.uint32).astype(np.uint64).sum() % (1 << 31))
-
-
 _HITS = pa.schema(
     [
         ("query", pa.string()), ("doc", pa.int64()), ("many", pa.bool_()), ("similarity", pa.float64()),
