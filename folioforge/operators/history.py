@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import token_estimate
+from folioforge.operators.slices import LONG, running
 
 ROUNDS, TOKEN_LIMIT, KEEP, DAYS = 1000, 300_000, 200, 7
 #: How speakers are named in a transcript, and what precedes a summary.
@@ -30,9 +31,18 @@ def _newest(session: str) -> Window:
     return Window.partitionBy(session).orderBy(F.desc("create_time"), F.desc("id"))
 
 
-def ordered(messages: DataFrame, session: str = "session_id") -> DataFrame:
-    """Adds ``position``, from 1, oldest first, ties by id."""
-    return messages.withColumn("position", F.row_number().over(Window.partitionBy(session).orderBy("create_time", "id")))
+def ordered(messages: DataFrame, session: str = "session_id", long: int = LONG, counted: DataFrame | None = None) -> DataFrame:
+    """Adds ``position``, from 1, oldest first, ties by id. Very long sessions are numbered slice by slice."""
+    order = [F.col("create_time"), F.col("id")]
+    rows = running(messages, session, "create_time", order, long, counted, position=F.lit(1))
+    return rows.withColumn("position", (F.col("position") + 1).cast("int"))
+
+
+def tokens_before(
+    messages: DataFrame, tokens: Column, session: str = "session_id", long: int = LONG, counted: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``before``: the tokens of the session's earlier messages."""
+    return running(messages, session, "create_time", [F.col("create_time"), F.col("id")], long, counted, before=tokens.cast("long"))
 
 
 def append_turn(messages: DataFrame, turn: DataFrame) -> DataFrame:

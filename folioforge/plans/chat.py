@@ -24,7 +24,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hist_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.ordered(_messages(spark, sf_dir)).select("session_id", "id", "position")
+    return history.ordered(_messages(spark, sf_dir), counted=table(spark, sf_dir, "chat_messages")).select("session_id", "id", "position")
 
 
 def hist_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +77,8 @@ def hist_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated tokens of each answer as a turn: its session so far as prompt, itself as completion."""
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy("session_id").orderBy("create_time", "id").rowsBetween(Window.unboundedPreceding, -1)
     tokens = token_estimate(F.col("content"))
-    rows = _messages(spark, sf_dir).withColumn("before", F.coalesce(F.sum(tokens.cast("long")).over(so_far), F.lit(0)))
+    rows = history.tokens_before(_messages(spark, sf_dir), tokens, counted=table(spark, sf_dir, "chat_messages"))
     usage = history.turn_usage(F.lit(50), F.col("before"), tokens)
     return rows.filter(F.col("role") == "assistant").select("id", usage.alias("u")).select("id", "u.prompt", "u.completion", "u.total")
 

@@ -99,3 +99,12 @@ def test_events(spark):
     assert [(r["event"], r["data"]) for r in events.orderBy("seq").collect()][:2] == [("message", "he"), ("message", " llo")]
     row = answers.answers(events, "id").first()
     assert row["answer"] == "he llo" and row["usage"]["total"] == 3
+
+
+def test_long_sessions_are_ordered_in_slices(spark):
+    both = rows(spark, 300).unionByName(rows(spark, 7, "doc:2:1").withColumn("id", F.col("id") + 1000))
+    for long in (200_000, 20):
+        got = {r["id"]: r["position"] for r in history.ordered(both, long=long).collect()}
+        assert all(got[i] == i + 1 for i in range(300)) and all(got[1000 + i] == i + 1 for i in range(7))
+        before = {r["id"]: r["before"] for r in history.tokens_before(both, F.lit(2), long=long).collect()}
+        assert all(before[i] == 2 * i for i in range(300)) and before[1006] == 12
