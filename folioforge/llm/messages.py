@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.slices import LONG, long_groups, with_slices
+
 #: Spellings of the three roles, compared in lower case without outer blanks.
 ROLES = {
     "user": ["user", "human", "用户", "customer", "usuario", "utilisateur", "benutzer", "nutzer", "提问者", "ユーザー"],
@@ -56,47 +58,26 @@ def in_sessions(chat: DataFrame) -> DataFrame:
 
 
 #: A session with more rows than this (and than a thousandth of all rows) is cut into slices by time.
-LONG_SESSION = 200_000
+LONG_SESSION = LONG
 
 
 def sliced(rows: DataFrame, chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
     """Adds ``slice`` and ``context``: order within a session may then be worked out per (session, slice).
 
-    Sessions of usual length form one slice. A long one is cut by time into slices of about ``long_session`` rows,
-    and the last row of each slice is repeated with context = true at the head of the next, so that every row still
-    finds its predecessor. More than a thousandth of all rows are needed to be long, so at most 1000 sessions are.
-    Sizes are counted over all rows of ``chat``, from two columns of it.
+    Sessions of usual length form one slice. The last row of each slice of a long one is repeated with context = true at
+    the head of the next, so that every row still finds its predecessor.
     """
-    rows = rows.withColumn("slice", F.lit(0)).withColumn("context", F.lit(False))
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    sent = F.unix_micros(F.col("create_time").cast("timestamp"))
-    sizes = (
-        chat.filter(F.col("session_id").isNotNull())
-        .groupBy(F.lower(strip(F.col("session_id"))).alias("session"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(sent).alias("begin"), F.max(sent).alias("end"))
-    )
-    limit = max(long_session, chat.count() // 1000)  # the count comes from the files' footers
-    long = sizes.filter(F.col("n") > limit).limit(1001).collect()
-    if not long:
-        return rows
-    spark = rows.sparkSession
-    spans = spark.createDataFrame(
-        [(r["session"], r["begin"], max(1, (r["end"] or 0) - (r["begin"] or 0) + 1), -(-2 * r["n"] // limit)) for r in long],
-        "session string, begin long, span long, parts long",
-    )
-    part = F.floor((micros - F.col("begin")) / F.col("span") * F.col("parts")).cast("int")
-    cut = rows.join(F.broadcast(spans), "session", "left").withColumn("slice", F.coalesce(part, F.lit(0)))
-    cut = cut.select(rows.columns)
-    names = [r["session"] for r in long]
-    body = [c for c in rows.columns if c not in ("session", "slice", "context")]
-    from pyspark.sql import Window
-
+    spans = long_groups(chat, F.lower(strip(F.col("session_id"))), F.col("create_time"), long_session)
+    cut = with_slices(rows, spans, "session", "at").withColumn("context", F.lit(False))
+    if not spans:
+        return cut
+    body = [c for c in rows.columns if c not in ("session", "at", "id")]
     tails = (
-        cut.filter(F.col("session").isin(names))
+        cut.filter(F.col("session").isin([s.group for s in spans]))
         .groupBy("session", "slice")
-        .agg(F.max(F.struct("at", "id", *[c for c in body if c not in ("at", "id")])).alias("row"))
+        .agg(F.max(F.struct("at", "id", *body)).alias("row"))
         .withColumn("next", F.lead("slice").over(Window.partitionBy("session").orderBy("slice")))
         .filter(F.col("next").isNotNull())
-        .select("session", F.col("next").alias("slice"), F.lit(True).alias("context"), *[F.col(f"row.{c}").alias(c) for c in body])
+        .select("session", F.col("next").alias("slice"), F.lit(True).alias("context"), *[F.col(f"row.{c}").alias(c) for c in ("at", "id", *body)])
     )
     return cut.unionByName(tails)
