@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.languages import is_function_word
+from folioforge.session import cut
 
 #: Abbreviations that a name, number or further word must follow.
 NEVER_LAST = frozenset(
@@ -311,7 +312,7 @@ OBSERVED = pa.schema([("kind", pa.string()), ("word", pa.string()), ("n", pa.int
 
 def learn_model(documents: DataFrame, text: str = "text", size: int = MODEL_SIZE) -> Model:
     """Statistics over all documents; the model holds at most ``size`` words of each kind, the most frequent."""
-    seen = (
+    seen = cut(
         documents.select(F.col(text).cast("string").alias("text"))
         .mapInArrow(_observe, "kind string, word string, n long")
         .groupBy("word")
