@@ -52,21 +52,23 @@ def scores(words: list[str]) -> Counter:
 
 def language_of(text: str) -> tuple[str, float]:
     """(language, lead): lead is how far it is ahead of the next one, in function words; ("", 0) if nothing is known."""
-    latin = _LATIN.findall(text)
-    han = len(_HAN.findall(text))
-    letters = sum(map(len, latin))
-    for name, script in _SCRIPTS:
-        n = len(script.findall(text))
-        if n and n * 4 >= letters + (han if name != "ja" else 0):
-            return name, float(n)
-    if han and han * 3 >= letters:
-        return "zh", float(han)
-    found = scores([w.lower() for w in latin])
     lower = text.lower()
-    for name, mark in _MARKS.items():
-        n = len(mark.findall(lower))
-        if n:
-            found[name] += min(1.5, 0.5 * n)
+    latin = _LATIN.findall(lower)
+    if text and max(text) > "\u036f":
+        han = len(_HAN.findall(text))
+        letters = sum(map(len, latin))
+        for name, script in _SCRIPTS:
+            n = len(script.findall(text))
+            if n and n * 4 >= letters + (han if name != "ja" else 0):
+                return name, float(n)
+        if han and han * 3 >= letters:
+            return "zh", float(han)
+    found = scores(latin)
+    if not lower.isascii() or "'" in lower:
+        for name, mark in _MARKS.items():
+            n = len(mark.findall(lower))
+            if n:
+                found[name] += min(1.5, 0.5 * n)
     if not found:
         return "", 0.0
     (best, first), *rest = found.most_common(2)

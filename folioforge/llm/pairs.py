@@ -82,9 +82,19 @@ _BUT = re.compile(r"(?:\b(?:but|however|aber|jedoch|mais|cependant|pero|sin emba
 _SENTENCE = re.compile(r"[^.!?。！？।\n]+[.!?。！？।]*")
 
 
+#: Every refusal holds one of these, in lower case; most answers hold none and need no pattern.
+REFUSAL_STEMS = (
+    "can't", "can’t", "cant ", "cannot", "can not", "won't", "won’t", "wont ", "will not", "must not", "may not", "able to", "feel able",
+    "decline", "refuse", "prefer not", "rather not", "possible for", "not allowed", "not permitted", " ich ", "ich kann", "ich darf", "ich möchte",
+    "ich werde", "ich will", "ich muss", "ich lehne", "nicht möglich", "je ne ", "je préfère", "je dois", "impossible", "no pued", "no podemos",
+    "no debo", "no me es", "no estoy", "debo ", "me niego", "prefiero no", "me es imposible", "我", "恕", "でき", "いたしかね", "ไม่สามารถ", "मैं",
+)
+
+
 def is_refusal(answer: str) -> bool:
     """Declines and gives no answer: every sentence declines or apologises, and nothing substantial follows a 'but'."""
-    if not REFUSALS.search(answer):
+    low = answer.lower()
+    if not any(stem in low for stem in REFUSAL_STEMS) or not REFUSALS.search(answer):
         return False
     for sentence in _SENTENCE.findall(answer):
         if not re.search(r"\w", sentence) or APOLOGIES.match(sentence):
@@ -104,14 +114,18 @@ COPY_EXTRA = 4
 
 def is_copy(question: str, answer: str) -> bool:
     """Gives back the question and adds nothing but a label: at least 0.8 of its words in order, at most COPY_EXTRA others."""
+    if not 0.5 * len(question) - 20 <= len(answer) <= 4 * len(question) + 80:
+        return False
     q, a = _TOKEN.findall(question.lower()), _TOKEN.findall(answer.lower())
     if not q or not a:
         return False
     if q == a:
         return True
+    words = set(q)
+    if len(words.intersection(a)) < 0.7 * len(words):
+        return False
     spare = Counter(a)
     spare.subtract(q)
-    words = set(q)
     extra = sum(n for w, n in spare.items() if n > 0 and w not in words)
     common = sum((Counter(q) & Counter(a)).values())
     allowed = COPY_EXTRA + 2 * (len(q[0]) == 1 and not q[0].isascii())
@@ -141,16 +155,20 @@ _ASKS = {
     k: re.compile("|".join(rf"\b{n}\b" if n[0] < "\u0250" else n for n in v.split("|")), re.I) for k, v in LANGUAGE_NAMES.items()
 }
 _QUOTED = re.compile(r"“[^”“]*[”“]|„[^“”]*[“”]|«[^»]*»|「[^」]*」|\"[^\"\n]*\"|```.*?(?:```|$)|\n---\n.*", re.S)
-_AFTER_COLON = re.compile(r"[:：].*", re.S)
+_MARKS = "“„«「\"`-"
+
+
+def _unquoted(text: str) -> str:
+    return _QUOTED.sub(" ", text) if any(mark in text for mark in _MARKS) else text
 
 
 def is_wrong_language(question: str, answer: str) -> bool:
     """In another language than the question, which does not ask for that. Quotations, code and citations don't count."""
-    own = _QUOTED.sub(" ", answer)
+    own = _unquoted(answer)
     got, lead = language_of(own)
     if not got or (lead < 1.5 and got not in ("zh", "ja", "th", "hi")):
         return False
-    head = _QUOTED.sub(" ", question)
+    head = _unquoted(question)
     asked, sure = language_of(head)
     if not asked or asked == got or sure < 1:
         return False
