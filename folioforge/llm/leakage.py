@@ -148,7 +148,7 @@ def passage_share(item: np.ndarray, text: np.ndarray, seed: int, gap: int) -> tu
     first = 0
     for j, (p, q, size) in enumerate(blocks):
         top = (size, p)
-        while first < j and blocks[first][1] + blocks[first][2] + gap < q and j - first > 400:
+        while blocks[first][1] + len(item) + gap < q:  # no block is longer than the item
             first += 1
         for i in range(first, j):
             pp, qq, ss = blocks[i]

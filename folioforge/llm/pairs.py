@@ -26,7 +26,8 @@ def answer_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame
     """(message_id, question, answer): user messages that say something and the assistant row directly after each.
 
     System rows are left out, exact repeats count once. Rows of null session, of unreadable role or of a question that
-    says nothing give no pair; they still stand between their neighbours.
+    says nothing give no pair; they still stand between their neighbours, as do rows without id, which give none either.
+    Rows without time come first.
     """
     rows = sliced(in_sessions(chat).filter(F.col("role") != "system"), chat, long_session)
     order = Window.partitionBy("session", "slice").orderBy(F.col("at"), F.col("id"), F.col("context").desc(), "role", "content")
@@ -38,7 +39,7 @@ def answer_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame
         rows.withColumn("before", F.lag(F.struct("role", "content")).over(order))
         .filter(~F.col("context") & (F.col("role") == "assistant") & (F.col("before.role") == "user"))
         .select(F.col("id").alias("message_id"), F.col("before.content").alias("question"), F.col("content").alias("answer"))
-        .filter(says_something(F.col("question")))
+        .filter(says_something(F.col("question")) & F.col("message_id").isNotNull())
     )
 
 
@@ -91,8 +92,16 @@ REFUSAL_STEMS = (
 )
 
 
+#: An answer longer than this says more than that it declines.
+LONGEST_REFUSAL = 1000
+#: Questions of more words than this are compared as bags of words only, since alignment takes the square.
+LONGEST_ALIGNED = 2000
+
+
 def is_refusal(answer: str) -> bool:
     """Declines and gives no answer: every sentence declines or apologises, and nothing substantial follows a 'but'."""
+    if len(answer) > LONGEST_REFUSAL:
+        return False
     low = answer.lower()
     if not any(stem in low for stem in REFUSAL_STEMS) or not REFUSALS.search(answer):
         return False
@@ -131,6 +140,8 @@ def is_copy(question: str, answer: str) -> bool:
     allowed = COPY_EXTRA + 2 * (len(q[0]) == 1 and not q[0].isascii())
     if common < 0.8 * len(q) or extra > allowed:
         return False
+    if len(q) > LONGEST_ALIGNED:
+        return common >= 0.95 * len(q) and extra <= 0.05 * len(q)
     kept = sum(b.size for b in SequenceMatcher(None, q, a, autojunk=False).get_matching_blocks())
     if kept < 0.8 * len(q):
         return False

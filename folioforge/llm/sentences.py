@@ -74,7 +74,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
         return _thai_space(text, cand, model)
     # which of the closing marks belong here: “ and \" close only what they opened
     while left > cand.start() + 1 and text[left - 1] in "“\"":
-        if text[left - 1] == "“" and "„" in text[begin : cand.start()]:
+        if text[left - 1] == "“" and text.find("„", begin, cand.start()) >= 0:
             break
         if text[left - 1] == '"' and text.count('"', begin, left) % 2 == 0:
             break
@@ -95,7 +95,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
     if last in "”」』“\"»" and left - cand.start() > len(stop):
         opening = {"”": "“", "」": "「", "』": "『", "“": "„", '"': '"', "»": "«"}[last]
         at = text.rfind(opening, begin, left - 1)
-        before = text[begin:at].rstrip() if at >= 0 else ""
+        before = text[max(begin, at - 8) : at].rstrip() if at >= 0 else ""
         if _ASIAN.match(text, right) or wide:
             # said after the quotation: what it is part of goes on, unless a colon introduced it
             if not before.endswith(("：", ":")) and after not in _OPENING and "\n" not in text[left:right]:
@@ -103,7 +103,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
             score += 1
     elif last in "）)】]" and (_ASIAN.match(text, right) or wide):
         at = max(text.rfind("（", begin, left), text.rfind("(", begin, left))
-        before = text[begin:at].rstrip() if at >= 0 else ""
+        before = text[max(begin, at - 8) : at].rstrip() if at >= 0 else ""
         if before and before[-1] not in _STOPS + _CLOSING:
             return (-3.0, left, right)
     elif last in "”’」』）)]】\"»" and not spaced and not wide:
@@ -152,7 +152,7 @@ def _line_end(text: str, begin: int, cand: re.Match, end: int, model: Model, one
         return None
     start = text.rfind("\n", begin, left) + 1 or begin
     line = text[start:left].strip()
-    above = text[begin:start].rstrip()
+    above = text[max(begin, start - 12) : start].rstrip()
     if above and not _CLOSED.search(above, max(0, len(above) - 8)):
         return (-4.0, left, right)
     opener = _opening_word(text, right if text[right] not in "“„«「『（([\"¿¡'" else right + 1)

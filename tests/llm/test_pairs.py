@@ -140,3 +140,16 @@ def test_paths(spark):
     assert all(got[i] == (None, None, "cycle") for i in (10, 11, 12, 13, 20))
     assert got[139] == (100, 39, "rooted")
     assert resolve_paths(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def test_long_texts_and_missing_ids(spark):
+    import time
+
+    began = time.time()
+    huge = "ich kann es sehen und je ne sais I can't say " * 20_000
+    assert not pairs.is_refusal(huge) and pairs.is_copy(huge, huge + "x") and not pairs.is_wrong_language(huge, huge)
+    pairs.ending_of("(" * 100_000 + "word")
+    assert time.time() - began < 20
+    df = spark.createDataFrame([(1, "s", "user", QUESTION, T0, "x"), (None, "s", "assistant", None, T0 + dt.timedelta(1), "x"), (None, None, None, None, None, None)], SCHEMA)
+    assert pairs.broken_pairs(df).count() == 0
+    assert {tuple(r) for r in dropped_sessions(df).collect()} == {("s", "missing_reply")}
