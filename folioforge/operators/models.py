@@ -6,7 +6,6 @@ batches, is called with at most ``BATCH`` texts, and is retried on connection er
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -32,11 +31,13 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     """The offline default: character trigrams hashed into ``dim`` places, normalised; the same everywhere."""
     out = []
     for text in texts:
-        v = np.zeros(dim)
-        padded = f"  {text.lower()} "
-        for i in range(len(padded) - 2):
-            h = hashlib.blake2b(padded[i : i + 3].encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            v[int.from_bytes(h[:4], "little") % dim] += 1 if h[4] & 1 else -1
+        codes = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            h = codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:] * np.uint64(0x165667B19E3779F9)
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        signs = (h >> np.uint64(40) & np.uint64(1)).astype(np.float64) * 2 - 1
+        v = np.bincount((h >> np.uint64(44)) % np.uint64(dim), signs, dim)
         n = np.sqrt((v * v).sum())
         out.append((v / n if n else v).tolist())
     return out

@@ -45,7 +45,8 @@ def current_rows(store: DataFrame, key: str, order: str, columns: dict[str, Colu
 def upsert(store: DataFrame, batch: DataFrame, position: str = "pos") -> DataFrame:
     """store (id, ..., ord) with the rows of batch (id, ..., position): an id keeps its ord, new ids follow the last.
 
-    Within the batch the last row of an id wins. Rows without id (null or empty) or embedding are skipped.
+    Within the batch the last row of an id wins; a new id's ord is the first free one plus its first position (from 0),
+    so order is kept without numbering the batch in one place. Rows without id (null or empty) or embedding are skipped.
     """
     fields = [c for c in store.columns if c != "ord"]
     wanted = batch.filter(F.coalesce(F.col("id"), F.lit("")) != "") .filter(F.col("embedding").isNotNull())
@@ -60,13 +61,7 @@ def upsert(store: DataFrame, batch: DataFrame, position: str = "pos") -> DataFra
     kept = store.select("id", F.col("ord").alias("old"))
     matched = last.join(kept, "id", "left")
     top = store.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("top"))
-    # one number per new id: batches are bounded by what one upload writes, so the order is worked out in one place
-    fresh = (
-        matched.filter(F.col("old").isNull())
-        .withColumn("rank", F.row_number().over(Window.orderBy("first", "id")) - 1)
-        .join(F.broadcast(top))
-        .select(*fields, (F.col("top") + F.col("rank")).alias("ord"))
-    )
+    fresh = matched.filter(F.col("old").isNull()).join(F.broadcast(top)).select(*fields, (F.col("top") + F.col("first")).alias("ord"))
     replaced = matched.filter(F.col("old").isNotNull()).select(*fields, F.col("old").alias("ord"))
     return store.join(last.select("id"), "id", "left_anti").select(*fields, "ord").unionByName(replaced).unionByName(fresh)
 

@@ -212,7 +212,7 @@ SQL = {
     "vec_delete_logged": """SELECT DISTINCT id, ord FROM vector_store WHERE metadata IS NOT NULL
         AND (metadata.documentid IS NULL OR metadata.documentid NOT IN (SELECT document_id FROM deleted_documents WHERE document_id IS NOT NULL))""",
     "vec_upsert": """SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 100 = 0 THEN -1 ELSE label END AS document_id, vec_id AS ord FROM embeddings
-        UNION ALL SELECT 'new:' || vec_id, label, (SELECT max(vec_id) + 1 FROM embeddings) + row_number() OVER (ORDER BY vec_id) - 1 FROM embeddings WHERE vec_id % 100 = 0""",
+        UNION ALL SELECT 'new:' || vec_id, label, (SELECT max(vec_id) + 1 FROM embeddings) + vec_id * 2 + 1 FROM embeddings WHERE vec_id % 100 = 0""",
     "query_terms": r"""SELECT id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), '|') AS terms FROM (
         SELECT id, list_concat(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]{2,}'), list_transform(regexp_extract_all(content, '[a-zA-Z]{3,}'), lambda x: lower(x))) AS t
         FROM (SELECT DISTINCT id, content FROM chat_messages WHERE content IS NOT NULL))""",

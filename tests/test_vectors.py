@@ -46,7 +46,7 @@ def test_upsert(spark):
         "id string, embedding array<double>, pos long",
     )
     rows = {r["id"]: (r["embedding"], r["ord"]) for r in vectors.upsert(store, batch).collect()}
-    assert rows == {"a": ([0.0, 1.0], 0), "b": ([0.0, 1.0], 1), "n": ([1.0, 1.0], 2), "m": ([2.0, 2.0], 3)}
+    assert rows == {"a": ([0.0, 1.0], 0), "b": ([0.0, 1.0], 1), "n": ([1.0, 1.0], 4), "m": ([2.0, 2.0], 8)}
     assert vectors.upsert(store.limit(0), batch).count() == 3
 
 
