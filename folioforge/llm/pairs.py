@@ -177,11 +177,12 @@ def is_wrong_language(question: str, answer: str) -> bool:
     """In another language than the question, which does not ask for that. Quotations, code and citations don't count."""
     own = _unquoted(answer)
     got, lead = language_of(own)
-    if not got or (lead < 1.5 and got not in ("zh", "ja", "th", "hi")):
+    own_script = got in ("zh", "ja", "th", "hi", "ko", "ru", "ar")
+    if not got or (lead < 1 and not own_script):
         return False
     head = _unquoted(question)
     asked, sure = language_of(head)
-    if not asked or asked == got or sure < 1:
+    if not asked or asked == got or (not own_script and lead < 1.5 and sure < 3) or (sure < 1 and not own_script):
         return False
     if got == "zh" and asked == "ja" or got == "ja" and asked == "zh":
         return got == "ja" or not re.search(r"[぀-ヿ]", own)
