@@ -75,9 +75,9 @@ def test_query_terms(spark):
 
 def test_keyword(spark):
     rows = spark.createDataFrame(
-        [("a", "Spring 自动化测试 Spring", 1, 0), ("b", "Electron testing guide", 2, 1), ("c", None, 3, 2), ("d", "", 4, 3)], "id string, text string, document_id long, ord long"
+        [("a", "Python 自动化测试 Python", 1, 0), ("b", "Database testing guide", 2, 1), ("c", None, 3, 2), ("d", "", 4, 3)], "id string, text string, document_id long, ord long"
     )
-    hit = retrieval.keyword_search(rows, ["spring"]).collect()
+    hit = retrieval.keyword_search(rows, ["python"]).collect()
     assert [r["id"] for r in hit] == ["a"] and round(hit[0]["score"], 6) == 10.526316
     assert retrieval.keyword_search(rows, ["testing"], only=F.col("document_id") == 1).count() == 0
     assert retrieval.keyword_search(rows, []).count() == 0
