@@ -126,3 +126,27 @@ def test_streaming_ingest(spark, tmp_path):
     ingest(spark, str(source), str(out), str(tmp_path / "check")).awaitTermination(120)
     rows = spark.read.parquet(str(out)).collect()
     assert sorted(r["id"] for r in rows) == ["doc:1:chunk:0", "doc:3:chunk:0"] and len(rows[0]["embedding"]) == 64
+
+
+def test_tables_and_statements(spark, tmp_path):
+    names = ["users", "notebooks", "documents", "chat_messages", "vector_store"]
+    try:
+        store.create_tables(spark, str(tmp_path), buckets=4)
+        store.create_tables(spark, str(tmp_path), buckets=4)
+        spark.sql("INSERT INTO users VALUES (1, 'a', NULL), (2, 'b', 'x')")
+        assert store.first(spark, "SELECT username FROM users WHERE id = ?", [2]) == {"username": "b"}
+        assert store.first(spark, "SELECT username FROM users WHERE id = ?", [9]) is None
+        assert store.run(spark, "SELECT count(*) AS n FROM chat_messages").first()["n"] == 0
+        store.append(spark.table("users").filter("id = 1"), str(tmp_path / "copy"))
+        assert store.read_table(spark, str(tmp_path / "copy"), "users").count() == 1
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_write_collection(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "t", (1, "x"), [1.0], 0), ("b", "u", None, None, 1)], "id string, text string, metadata struct<documentid:bigint,documenttitle:string>, embedding array<double>, ord long")
+    store.write_collection(rows, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    store.export_collection(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
