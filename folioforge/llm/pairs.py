@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,29 +235,40 @@ def ending_of(answer: str) -> tuple[str, str]:
     return ("ask", unit) if unit else ("done", "")
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_JUDGED = pa.schema(
+    [("message_id", pa.int64()), ("defect", pa.string()), ("state", pa.string()), ("unit", pa.string()), ("answer", pa.string()), ("length", pa.int32())]
+)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers with a defect, and those whose ending is open or in doubt; the rest end here."""
     for batch in batches:
         out = []
-        for message_id, question, answer, says in zip(batch["message_id"], batch["question"], batch["answer"], batch["says"]):
-            defect, state, unit = None, "done", ""
+        d = batch.to_pydict()
+        for message_id, question, answer, says in zip(d["message_id"], d["question"], d["answer"], d["says"]):
             if not says:
-                defect = "empty"
+                out.append((message_id, "empty", "done", "", None, 0))
             elif is_refusal(answer):
-                defect = "refusal"
+                out.append((message_id, "refusal", "done", "", None, 0))
             elif is_copy(question, answer):
-                defect = "copy"
+                out.append((message_id, "copy", "done", "", None, 0))
             elif is_wrong_language(question, answer):
-                defect = "wrong_language"
+                out.append((message_id, "wrong_language", "done", "", None, 0))
             else:
                 state, unit = ending_of(answer)
-            out.append((message_id, defect, state, unit, answer if state == "ask" else None, len(answer) if answer else 0))
-        yield pd.DataFrame(out, columns=["message_id", "defect", "state", "unit", "answer", "length"])
+                if state != "done":
+                    out.append((message_id, None, state, unit, answer if state == "ask" else None, len(answer)))
+        columns = list(zip(*out)) if out else [[]] * len(_JUDGED)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _JUDGED)], schema=_JUDGED)
 
 
-def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_UNIT_COUNTS = pa.schema([("unit", pa.string()), ("uses", pa.int64()), ("stops", pa.int64())])
+
+
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
-    def table() -> pd.DataFrame:
+    def table() -> pa.RecordBatch:
         uses: Counter = Counter()
         stops: Counter = Counter()
         for (unit, mark), n in counts.items():
@@ -264,17 +276,19 @@ def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             uses[unit] += n
             if mark:
                 stops[unit] += n
-        return pd.DataFrame([(u, n, stops[u]) for u, n in uses.items()], columns=["unit", "uses", "stops"])
+        return pa.RecordBatch.from_pydict({"unit": list(uses), "uses": list(uses.values()), "stops": [stops[u] for u in uses]}, _UNIT_COUNTS)
 
     for batch in batches:
-        for text in batch["answer"]:
+        for text in batch.column(0).to_pylist():
             # what ends the text is neither counted as a stop nor as a use in mid-clause
-            cut_at = len(text.rstrip())
-            while cut_at and (text[cut_at - 1].isalpha()):
+            text = text.rstrip()
+            cut_at = len(text)
+            while cut_at and text[cut_at - 1].isalpha():
                 cut_at -= 1
-            body = text[:cut_at] if len(text.rstrip()) - cut_at <= 40 else re.sub(r"[^。！？，、；.!?,]{1,12}$", "", text.rstrip())
+            body = text[:cut_at] if len(text) - cut_at <= 40 else re.sub(r"[^。！？，、；.!?,]{1,12}$", "", text)
             counts.update(_UNITS.findall(body))
-            counts.update(_HAN_UNITS.findall(body))
+            if not body.isascii():
+                counts.update(_HAN_UNITS.findall(body))
         if len(counts) > 300_000:
             yield table()
             counts.clear()
@@ -287,7 +301,7 @@ def unit_statistics(pairs: DataFrame) -> DataFrame:
     return (
         pairs.filter("says")
         .select("answer")
-        .mapInPandas(_count_units, "unit string, uses long, stops long")
+        .mapInArrow(_count_units, "unit string, uses long, stops long")
         .groupBy("unit")
         .agg(F.sum("uses").alias("uses"), F.sum("stops").alias("stops"))
     )
@@ -364,10 +378,7 @@ def broken_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame
     or a heading without a full stop is not truncated. Null contents are empty; empty tables give no rows.
     """
     pairs = cut(answer_pairs(chat, long_session).withColumn("says", says_something(F.col("answer"))))
-    judged = pairs.mapInPandas(
-        _judge, "message_id long, defect string, state string, unit string, answer string, length int"
-    )
-    judged = cut(judged.filter(F.col("defect").isNotNull() | (F.col("state") != "done")))
+    judged = cut(pairs.mapInArrow(_judge, "message_id long, defect string, state string, unit string, answer string, length int"))
     sure = judged.filter(F.col("defect").isNotNull() | (F.col("state") == "open")).select(
         "message_id", F.coalesce("defect", F.lit("truncated")).alias("defect")
     )
