@@ -417,7 +417,7 @@ def _bit_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
 
 
 class KnownUnits:
-    """A Bloom filter of fixed size; what it does not hold is certainly unknown."""
+    """A Bloom filter of fixed size; what it does not hold is certainly unknown, what it holds is settled by ``wrongly_held``."""
 
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
@@ -430,9 +430,16 @@ class KnownUnits:
         return True
 
 
+def exactly_known(counts: DataFrame) -> DataFrame:
+    return counts.filter((F.col("clean") >= KNOWN) | ((F.col("scanned") >= 40) & F.col("unit").rlike("-"))).select("unit")
+
+
 def known_units(counts: DataFrame, bits: int = FILTER_BITS) -> KnownUnits:
+    return unit_filter(exactly_known(counts), bits)
+
+
+def unit_filter(wanted: DataFrame, bits: int = FILTER_BITS) -> KnownUnits:
     """Built by the executors; only the filter's words, at most bits / 64 of them, reach the driver."""
-    wanted = counts.filter((F.col("clean") >= KNOWN) | ((F.col("scanned") >= 40) & F.col("unit").rlike("-"))).select("unit")
     n = wanted.count()
     size = max(1 << 16, min(bits, 1 << int(np.ceil(np.log2(max(n, 1) * 12)))))
     words = (
@@ -446,6 +453,39 @@ def known_units(counts: DataFrame, bits: int = FILTER_BITS) -> KnownUnits:
     return KnownUnits(held, size)
 
 
+def _held_units(batches: Iterator[pa.RecordBatch], known: KnownUnits) -> Iterator[pa.RecordBatch]:
+    """Words, and characters in the context of their line, that the filter holds; each once, as far as memory goes."""
+    schema = pa.schema([("unit", pa.string())])
+    seen: set[str] = set()
+    for batch in batches:
+        units: set[str] = set()
+        for content in batch.column(0).to_pylist():
+            text = content if content.isprintable() else "\n".join(map(_tidy, content.split("\n")))
+            units.update(_TOKEN.findall(text.lower()))
+            if not text.isascii():
+                units.update(_triples(text))
+        units -= seen
+        seen |= units
+        yield pa.RecordBatch.from_pydict({"unit": [u for u in units if u in known]}, schema)
+        if len(seen) > 500_000:
+            seen.clear()
+
+
+def wrongly_held(documents: DataFrame, content: str, known: KnownUnits, counts: DataFrame) -> KnownUnits:
+    """A filter of the units of the contents that ``known`` holds though the corpus does not know them, by an exact join.
+
+    A unit of a line that ``known`` holds and this filter does not is certainly known; of one that both hold that is open.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    held = (
+        documents.filter(F.col(content).isNotNull())
+        .select(F.col(content).cast("string").alias("content"))
+        .mapInArrow(lambda it: _held_units(it, shared.value), "unit string")
+        .distinct()
+    )
+    return unit_filter(cut(held.join(exactly_known(counts), "unit", "left_anti")))
+
+
 # ---------------------------------------------------------------- candidates and ranking
 
 
@@ -598,8 +638,12 @@ def body_lines(raw: list[str], kinds: dict[int, str]) -> Body:
     return body
 
 
-def _inspect(content: str, known: KnownUnits, model: Boosted, cache: dict[str, bool]) -> list[tuple[int, str, str, str, str]]:
-    """(line, kind, a, b, c): header and page_number as found; word, han and split as questions to the corpus."""
+def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted, cache: dict[str, bool]) -> list[tuple[int, str, str, str, str]]:
+    """(line, kind, a, b, c): header and page_number as found; word, han and split as questions to the corpus.
+
+    Words and characters that the corpus may know after all are among the questions; ``unknown_words`` and
+    ``unknown_characters`` take them out.
+    """
     raw = content.split("\n")
     kinds, pages = find_furniture(raw, model)
     out = [(i + 1, kind, "", "", "") for i, kind in kinds.items()]
@@ -610,7 +654,7 @@ def _inspect(content: str, known: KnownUnits, model: Boosted, cache: dict[str, b
         if hit is None:
             if len(cache) > 500_000:
                 cache.clear()
-            hit = cache[unit] = unit in known
+            hit = cache[unit] = unit in known and unit not in open_
         return hit
 
     cached = cache.get
@@ -644,6 +688,10 @@ def _inspect(content: str, known: KnownUnits, model: Boosted, cache: dict[str, b
             begin, run = m.start(), f"  {m.group(0)}  "
             n = m.end() - begin
             miss = [not (is_known(u) if (hit := cached(u)) is None else hit) for u in (run[p + 1 : p + 4] for p in range(n))]
+            for p in range(n - 1):
+                if owner[begin + p] != owner[begin + p + 1]:
+                    # what spans two lines was not settled beforehand
+                    miss[p] = miss[p + 1] = True
             # a character is in doubt if no triple that holds it is known
             for p in range(n):
                 if miss[p] and (p == 0 or miss[p - 1]) and (p == n - 1 or miss[p + 1]):
@@ -651,6 +699,21 @@ def _inspect(content: str, known: KnownUnits, model: Boosted, cache: dict[str, b
     return out
 
 
+def unknown_words(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, ...): without the words that the corpus knows."""
+    known = exactly_known(counts).withColumnRenamed("unit", "a")
+    return words.join(words.select("a").distinct().join(known, "a", "left_anti"), "a")
+
+
+def unknown_characters(han: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b, c, ...): without the characters of which the corpus knows a string of three that holds them."""
+    asked = han.select("a", "b", "c").distinct()
+    known = exactly_known(counts)
+    for unit in (F.concat("a", "b"), F.concat(F.substring("a", 2, 1), "b", F.substring("c", 1, 1)), F.concat("b", "c")):
+        asked = asked.withColumn("unit", unit).join(known, "unit", "left_anti").drop("unit")
+    return han.join(asked, ["a", "b", "c"])
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string())])
 
 
@@ -867,17 +930,18 @@ def page_noise(
     none; ids that repeat are treated row by row. Whole contents are read.
     """
     reader = reader or learn_reader(documents, content, text, title)
-    shared = documents.sparkSession.sparkContext.broadcast((reader.known, reader.furniture))
+    open_units = wrongly_held(documents, content, reader.known, reader.counts)
+    shared = documents.sparkSession.sparkContext.broadcast((reader.known, open_units, reader.furniture))
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+        known, open_, model = shared.value
         cache: dict[str, bool] = {}
         for batch in batches:
             rows = [
                 (k, *found)
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 if t
-                for found in _inspect(t, known, model, cache)
+                for found in _inspect(t, known, open_, model, cache)
             ]
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
@@ -892,11 +956,11 @@ def page_noise(
         "doc_id", "line_no", F.col("kind").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")
     )
 
-    words = found.filter("kind = 'word'")
+    words = unknown_words(found.filter("kind = 'word'"), counts)
     fixed = corrected_words(words, counts, reader.ranker).filter("p > 0.5")
     misread = words.select("doc_id", "line_no", "a").join(fixed, "a").select("doc_id", "line_no", F.lit("misread").alias("defect"), "a", F.col("meant").alias("b"))
 
-    han = found.filter("kind = 'han'")
+    han = unknown_characters(found.filter("kind = 'han'"), counts)
     signs = corrected_characters(han, counts, reader.signs)
     misread_signs = han.join(signs, ["a", "b", "c"]).select("doc_id", "line_no", F.lit("misread").alias("defect"), F.col("b").alias("a"), F.col("meant").alias("b"))
 

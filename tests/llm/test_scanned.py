@@ -93,3 +93,12 @@ def test_long_contents_stay_linear():
     for line in (lambda i: f"item {i} of a list", lambda i: str(i % 50), lambda i: f"Copy - Title {i}"):
         sc.find_furniture([line(i) for i in range(20_000)], model)
     assert time.time() - began < 30
+
+
+def test_hits_of_the_filter_are_settled(spark):
+    df = corpus(spark, [MISREAD, ZH, "会议\n记绿\n说明", "plain text of the library"])
+    reader = sc.learn_reader(df)
+    want = sorted(sc.page_noise(df, reader=reader).collect())
+    assert {r["doc_id"] for r in want if r["defect"] == "misread"} >= {0, 1}
+    reader.known = sc.KnownUnits(np.full(1 << 10, 2**64 - 1, np.uint64), 1 << 16)  # holds everything
+    assert sorted(sc.page_noise(df, reader=reader).collect()) == want
