@@ -538,8 +538,11 @@ def grams(word: str) -> list[str]:
 
 
 def train_words(words: list[tuple[str, int]], seed: int = 5) -> Boosted:
-    """From clean words damaged by usual confusions, against other forms of words, pieces of words and unlike words."""
-    rng = np.random.default_rng(seed)
+    """From clean words damaged by usual confusions, against other forms of words, pieces of words and unlike words.
+
+    Some of the damaged words are rare ones; some words are read about as often as the candidate, hence no slips of it.
+    """
+    rng, counts = np.random.default_rng(seed), np.random.default_rng(seed + 1)
     words = [(w, n) for w, n in words if len(w) > 2 and not any(c.isdigit() for c in w)] or [("example", 50), ("sample", 40), ("samples", 30)]
     texts = [w for w, _ in words]
     x, y = [], []
@@ -548,6 +551,8 @@ def train_words(words: list[tuple[str, int]], seed: int = 5) -> Boosted:
         bad = _damaged_word(w, rng)
         if bad != w:
             seen = float(rng.integers(1, max(2, n // 50 + 2)))
+            if i % 4 == 0:
+                seen, n = 1.0, int(counts.integers(KNOWN, 12))
             x.append(word_features(bad, w, seen, n, len(set(grams(bad)) & set(grams(w)))))
             y.append(1)
         kind = i % 3
@@ -561,12 +566,21 @@ def train_words(words: list[tuple[str, int]], seed: int = 5) -> Boosted:
         else:
             near = sorted(texts[:400], key=lambda t: -len(set(grams(t)) & set(grams(w))))[1:2] if i % 30 == 2 else [other]
             bad, other = w, near[0]
+        read = float(rng.integers(1, 30))
+        if i % 4 == 1:
+            bad, other, m = _damaged_word(w, counts) if counts.random() < 0.5 else _other_letter(w, counts), w, n
+            read = float(max(6, n * np.exp(counts.uniform(-1.6, 1.6))))
         if bad != other:
-            x.append(word_features(bad, other, float(rng.integers(1, 30)), m, len(set(grams(bad)) & set(grams(other)))))
+            x.append(word_features(bad, other, read, m, len(set(grams(bad)) & set(grams(other)))))
             y.append(0)
     return boost(np.array(x), np.array(y))
 
 
+def _other_letter(word: str, rng: np.random.Generator) -> str:
+    at = int(rng.integers(len(word)))
+    return word[:at] + "aeinorst"[rng.integers(8)] + word[at + 1 :]
+
+
 def _damaged_word(word: str, rng: np.random.Generator) -> str:
     options = [(a, b) for a, b in CONFUSED if b in word]
     if options and rng.random() < 0.9:
@@ -639,7 +653,7 @@ def body_lines(raw: list[str], kinds: dict[int, str]) -> Body:
 
 
 def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted, cache: dict[str, bool]) -> list[tuple[int, str, str, str, str]]:
-    """(line, kind, a, b, c): header and page_number as found; word, han and split as questions to the corpus.
+    """(line, kind, a, b, c): header and page_number as found; word (b: code of its line), han and split as questions to the corpus.
 
     Words and characters that the corpus may know after all are among the questions; ``unknown_words`` and
     ``unknown_characters`` take them out.
@@ -661,7 +675,7 @@ def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted,
     after_split = False
     text, owner = [], []
     for j, line in enumerate(body.lines):
-        number = body.numbers[j]
+        number, code = body.numbers[j], ""
         end = _SPLIT_END.search(line) if line[-1] in _HYPHENS and j + 1 < len(body.lines) else None
         first = _FIRST_WORD.match(body.lines[j + 1]) if end else None
         split = bool(end and first and first.group(0)[:1].islower())
@@ -674,7 +688,8 @@ def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted,
             if hit or hit is None and (len(word) < 3 or is_known(word)):
                 continue
             if len(word) >= 3 and any(map(str.isalpha, word)):
-                out.append((number, "word", word, "", ""))
+                code = code or f"{unit_code(line):x}"
+                out.append((number, "word", word, code, ""))
         after_split = split
         if not line.isascii():
             if body.starts[j]:
@@ -743,9 +758,10 @@ def corrected_words(questions: DataFrame, counts: DataFrame, ranker: Boosted) ->
 
     A misread character (read as one, two or three) damages at most five of a word's trigrams, so one of any six is
     intact: only the six rarest of a word are looked up, which keeps to the short lists of the index. Grams must stand
-    at about the same place and lengths must be close.
+    at about the same place and lengths must be close. How often a word was seen counts distinct lines (b: the code of
+    a line), so copies of a content add nothing; what that says against a candidate is left to the ranker.
     """
-    asked = questions.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("seen"))
+    asked = questions.select("a", "b").distinct().groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("seen"))
     words = counts.filter((F.col("clean") >= KNOWN) & F.col("unit").rlike(r"^[^ \-]{3,}$") & ~F.col("unit").rlike("[0-9\\u3400-\\u9fff]"))
     index = words.select(F.col("unit").alias("meant"), F.col("clean").cast("double").alias("clean"), _placed_grams(F.col("unit")).alias("place", "gram"))
     lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("entries"))
@@ -760,7 +776,7 @@ def corrected_words(questions: DataFrame, counts: DataFrame, ranker: Boosted) ->
     )
     pairs = (
         lookups.join(index, ["gram", "place"])
-        .filter((F.abs(F.length("a") - F.length("meant")) <= 2) & (F.col("clean") > 5 * F.col("seen")))
+        .filter(F.abs(F.length("a") - F.length("meant")) <= 2)
         .select("a", "meant", "seen", "clean")
         .distinct()
     )

@@ -102,3 +102,16 @@ def test_hits_of_the_filter_are_settled(spark):
     assert {r["doc_id"] for r in want if r["defect"] == "misread"} >= {0, 1}
     reader.known = sc.KnownUnits(np.full(1 << 10, 2**64 - 1, np.uint64), 1 << 16)  # holds everything
     assert sorted(sc.page_noise(df, reader=reader).collect()) == want
+
+
+def test_copies_and_rare_words(spark):
+    one = corpus(spark, [MISREAD])
+    extra = [(2000 + i, None, "the quadrangle of the library", "A plain title", "clash") for i in range(sc.KNOWN)]
+    rare = [(3000, "here the quadrang1e of the library is\na reading", None, "Some title", "clash")]
+    copies = [(4000 + i, MISREAD, None, "Some title", "clash") for i in range(300)]
+    df = one.unionByName(spark.createDataFrame(extra + rare + copies, one.schema))
+    got = {(r["doc_id"], r["a"], r["b"]) for r in sc.page_noise(df).collect() if r["defect"] == "misread"}
+    single = {(a, b) for d, a, b in got if d == 0}
+    assert ("inclex", "index") in single
+    assert all({(a, b) for d, a, b in got if d == 4000 + i} == single for i in range(300))
+    assert (3000, "quadrang1e", "quadrangle") in got
