@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -268,33 +269,89 @@ def find_furniture(raw: list[str], model: Boosted) -> tuple[dict[int, str], dict
 
 
 class TitleIndex:
-    """Titles by how they begin and end, so that one with a misread character is found without comparing all.
+    """Titles by pieces, so that one that is similar is found for certain, without comparing all.
 
-    Running titles recur page after page: of those that begin (or end) alike only the latest few are compared.
+    Of a title of n characters at most n // 5 may differ from a similar one, so of one piece more than that (two at least,
+    as a lone insertion may fall inside one) some piece is intact, at its place from the left or from the right. All
+    titles that share a piece are compared, many at once where many do; the latest similar one counts.
     """
 
-    LATEST = 30
+    MANY = 24
 
     def __init__(self) -> None:
-        self.by: dict[tuple[int, str], list[tuple[str, object]]] = {}
         self.same: dict[str, object] = {}
+        self.by: dict[tuple[int, int, str], list[int]] = {}
+        self.titles: list[tuple[str, object]] = []
+        self.codes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sizes: dict[int, int] = {}
+
+    @staticmethod
+    @lru_cache(4096)
+    def pieces(n: int) -> tuple[tuple[int, int], ...]:
+        parts = max(n // 5, 1) + 1
+        return tuple((n * i // parts, n * (i + 1) // parts) for i in range(parts) if n * i // parts < n * (i + 1) // parts)
 
     def add(self, title: str, value: object = True) -> None:
         known = title in self.same
         self.same[title] = value
         if known:
             return
-        for side in (0, 1):
-            self.by.setdefault((side, title[:4] if side == 0 else title[-4:]), []).append((title, value))
+        n, at = len(title), len(self.titles)
+        self.titles.append((title, value))
+        row = self.sizes.get(n, 0)
+        self.sizes[n] = row + 1
+        codes, ids = self.codes.get(n) or (np.zeros((4, n), np.uint32), np.zeros(4, np.int64))
+        if row == len(ids):
+            codes, ids = np.concatenate([codes, np.zeros_like(codes)]), np.concatenate([ids, np.zeros_like(ids)])
+        codes[row], ids[row] = _code_points(title), at
+        self.codes[n] = codes, ids
+        for begin, end in self.pieces(n):
+            self.by.setdefault((n, begin, title[begin:end]), []).append(at)
 
     def find(self, title: str) -> object | None:
         if title in self.same:
             return self.same[title]
-        for side in (0, 1):
-            for other, value in reversed(self.by.get((side, title[:4] if side == 0 else title[-4:]), [])[-self.LATEST :]):
-                if similarity(title, other) >= 0.8:
-                    return value
-        return None
+        m = len(title)
+        best = -1
+        for n in range(max(1, m - 3), m + 4):
+            if n not in self.sizes:
+                continue
+            few: set[int] = set()
+            many = False
+            for begin, end in self.pieces(n):
+                for shift in {0, m - n}:
+                    if begin + shift < 0:
+                        continue
+                    hits = self.by.get((n, begin, title[begin + shift : end + shift]))
+                    if hits and hits[-1] > best:
+                        many = many or len(hits) > self.MANY
+                        few.update(hits[-self.MANY :])
+            for at in sorted(few, reverse=True):
+                if at <= best:
+                    break
+                if similarity(title, self.titles[at][0]) >= 0.8:
+                    best = at
+                    break
+            if many:
+                best = max(best, self._latest(title, n))
+        return self.titles[best][1] if best >= 0 else None
+
+    def _latest(self, title: str, n: int) -> int:
+        """The latest similar one of all titles of n characters: ``similarity`` for many at once."""
+        codes, ids = (x[: self.sizes[n]] for x in self.codes[n])
+        own = _code_points(title)
+        short = min(n, len(own))
+        left = codes[:, :short] == own[:short]
+        right = codes[:, ::-1][:, :short] == own[::-1][:short]
+        first = np.where(left.all(1), short, left.argmin(1))
+        last = np.where(right.all(1), short, right.argmin(1))
+        equal = np.maximum(np.maximum(left.sum(1), right.sum(1)), np.minimum(first + last, short))
+        found = ids[equal / max(n, len(own)) >= 0.8]
+        return int(found.max()) if len(found) else -1
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _open_before(lines: list[str], kinds: dict[int, str], i: int) -> bool:

@@ -115,3 +115,39 @@ def test_copies_and_rare_words(spark):
     assert ("inclex", "index") in single
     assert all({(a, b) for d, a, b in got if d == 4000 + i} == single for i in range(300))
     assert (3000, "quadrang1e", "quadrangle") in got
+
+
+def test_titles_are_found_among_all():
+    many = sc.TitleIndex()
+    many.add("section of the catalogue", "header")
+    for i in range(200):
+        many.add(f"sect{i * 7919 % 100_003:011d}{chr(97 + i % 26) * 5}ogue")
+    assert many.find("section of the cata1ogue") == "header"
+    short = sc.TitleIndex()
+    short.add("标注过问答记录")
+    assert short.find("标注过.答记录") is True
+
+    rng = np.random.default_rng(4)
+    for size in (5, 60):
+        titles = ["".join(rng.choice(list("abc"), rng.integers(1, 24))) for _ in range(size)]
+        index = sc.TitleIndex()
+        for i, title in enumerate(titles):
+            index.add(title, i)
+        for _ in range(400):
+            bad = list(titles[rng.integers(size)])
+            for _ in range(rng.integers(1, 5)):
+                at, kind = int(rng.integers(len(bad) + 1)), rng.integers(3)
+                bad[at : at + int(kind > 0)] = list("abcd"[rng.integers(4)]) if kind < 2 else []
+            read = "".join(bad)
+            want = any(sc.similarity(read, t) >= 0.8 for t in titles)
+            assert (index.find(read) is not None) == want, (read, titles)
+
+
+def test_many_alike_titles_compared_at_once():
+    index = sc.TitleIndex()
+    titles = [f"chapter {i:03d} " + "".join(np.random.default_rng(i).choice(list("abcdefgh"), 12)) for i in range(300)]
+    for title in titles:
+        index.add(title, title)
+    for title in titles[:60]:
+        assert index.find(title[:12] + "0" + title[13:]) is not None
+        assert index.find(title + "x") is not None
