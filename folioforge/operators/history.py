@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import token_estimate
-from folioforge.operators.slices import LONG, running
+from folioforge.operators.slices import LONG, long_groups, running, with_slices
 
 ROUNDS, TOKEN_LIMIT, KEEP, DAYS = 1000, 300_000, 200, 7
 #: How speakers are named in a transcript, and what precedes a summary.
@@ -95,10 +95,18 @@ def transcript_line(role: Column, content: Column) -> Column:
     return F.concat(name, F.coalesce(content, F.lit("")), F.lit("\n\n"))
 
 
-def transcripts(messages: DataFrame, session: str = "session_id", rounds: int = ROUNDS) -> DataFrame:
-    """(session, transcript) of the newest 2 x rounds rows: what is retained bounds the size of a transcript."""
-    rows = F.array_sort(F.collect_list(F.struct("create_time", "id", transcript_line(F.col("role"), F.col("content")).alias("line"))))
-    return truncated(messages, rounds, session).groupBy(session).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "").alias("transcript"))
+def transcripts(
+    messages: DataFrame, session: str = "session_id", rounds: int | None = None, long: int = LONG, counted: DataFrame | None = None
+) -> DataFrame:
+    """(session, transcript) of all rows, or of the newest 2 x rounds; very long sessions are put together slice by slice."""
+    rows = messages if rounds is None else truncated(messages, rounds, session)
+    spans = long_groups(rows if counted is None else counted, F.col(session), F.col("create_time"), long)
+    lines = F.array_sort(F.collect_list(F.struct("create_time", "id", transcript_line(F.col("role"), F.col("content")).alias("line"))))
+    joined = lambda parts, field: F.array_join(F.transform(parts, lambda x: x[field]), "")
+    if not spans:
+        return rows.groupBy(session).agg(joined(lines, "line").alias("transcript"))
+    parts = with_slices(rows, spans, session, "create_time").groupBy(session, "slice").agg(joined(lines, "line").alias("part"))
+    return parts.groupBy(session).agg(joined(F.array_sort(F.collect_list(F.struct("slice", "part"))), "part").alias("transcript"))
 
 
 def compressed(
@@ -108,27 +116,29 @@ def compressed(
     keep: int = KEEP,
     variant: str = "web",
     session: str = "session_id",
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
+    long: int = LONG,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(session, position, role, content): histories as they go to a model.
 
     Sessions over the limits keep their newest ``keep`` rows after one assistant message with the summary of the rest;
-    ``summarise`` maps a column of transcripts to a column of summaries. Other sessions stay as they are.
+    ``summarise`` maps a column of transcripts to a column of summaries. Other sessions stay as they are. ``rounds``
+    first truncates every session to its newest 2 x rounds rows.
     """
-    rows = truncated(messages, rounds, session)
-    large = to_compress(rows, limit, keep, variant, session).select(session, F.lit(True).alias("_large"))
-    ranked = rows.withColumn("_r", F.row_number().over(_newest(session))).join(large, session, "left")
-    old = F.col("_large").isNotNull() & (F.col("_r") > keep)
-    summary = transcripts(ranked.filter(old), session, rounds).select(
+    rows = messages if rounds is None else truncated(messages, rounds, session)
+    large = to_compress(rows, limit, keep, variant, session).select(session, (F.col("messages") - keep).alias("_old"))
+    placed = ordered(rows, session, long, counted).join(large, session, "left").withColumn("_old", F.coalesce("_old", F.lit(0)))
+    old = F.col("position") <= F.col("_old")
+    summary = transcripts(placed.filter(old), session, long=long, counted=counted).select(
         session,
-        F.lit(None).cast("timestamp_ntz").alias("create_time"),
-        F.lit(None).cast("long").alias("id"),
+        F.lit(1).alias("position"),
         F.lit("assistant").alias("role"),
         F.concat(F.lit(SUMMARY_PREFIX), summarise(F.col("transcript"))).alias("content"),
     )
-    recent = ranked.filter(~old).select(session, "create_time", "id", "role", "content")
-    order = Window.partitionBy(session).orderBy(F.asc_nulls_first("create_time"), F.asc_nulls_first("id"))
-    return recent.unionByName(summary).withColumn("position", F.row_number().over(order)).select(session, "position", "role", "content")
+    place = F.when(F.col("_old") > 0, F.col("position") - F.col("_old") + 1).otherwise(F.col("position")).cast("int")
+    recent = placed.filter(~old).select(session, place.alias("position"), "role", "content")
+    return recent.unionByName(summary)
 
 
 def turn_usage(prompt_tokens: Column, history_tokens: Column, answer_tokens: Column) -> Column:

@@ -48,12 +48,14 @@ def hist_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hist_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.transcripts(_messages(spark, sf_dir)).select("session_id", F.md5("transcript").alias("transcript"))
+    rows = history.transcripts(_messages(spark, sf_dir), counted=table(spark, sf_dir, "chat_messages"))
+    return rows.select("session_id", F.md5("transcript").alias("transcript"))
 
 
 def hist_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sessions as one summary (here the beginning of the transcript) and their newest messages."""
-    rows = history.compressed(_messages(spark, sf_dir), lambda t: F.substring(t, 1, 100), LIMIT, KEEP)
+    counted = table(spark, sf_dir, "chat_messages")
+    rows = history.compressed(_messages(spark, sf_dir), lambda t: F.substring(t, 1, 100), LIMIT, KEEP, counted=counted)
     return rows.select("session_id", "position", "role", F.md5("content").alias("content"))
 
 

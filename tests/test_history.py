@@ -108,3 +108,16 @@ def test_long_sessions_are_ordered_in_slices(spark):
         assert all(got[i] == i + 1 for i in range(300)) and all(got[1000 + i] == i + 1 for i in range(7))
         before = {r["id"]: r["before"] for r in history.tokens_before(both, F.lit(2), long=long).collect()}
         assert all(before[i] == 2 * i for i in range(300)) and before[1006] == 12
+
+
+def test_long_sessions_stay_whole(spark):
+    n = 2 * history.ROUNDS + 101
+    both = rows(spark, n).unionByName(rows(spark, 5, "doc:2:1"))
+    line = lambda i: f"{'AI: ' if i % 2 else '用户: '}m{i}\n\n"
+    for long in (history.LONG, 50):
+        got = {r["session_id"]: r["transcript"] for r in history.transcripts(both, long=long).collect()}
+        assert got == {"doc:1:1": "".join(map(line, range(n))), "doc:2:1": "".join(map(line, range(5)))}
+        kept = history.compressed(both, lambda t: t, 1, 10, long=long).filter("session_id = 'doc:1:1'").orderBy("position").collect()
+        assert kept[0]["content"] == history.SUMMARY_PREFIX + "".join(map(line, range(n - 10)))
+        assert [(r["position"], r["content"]) for r in kept[1:]] == [(i + 2, f"m{n - 10 + i}") for i in range(10)]
+    assert history.transcripts(rows(spark, 8), rounds=1).first()["transcript"] == line(6) + line(7)
