@@ -9,7 +9,7 @@ balance. Which words open and which never close a sentence is learned from the l
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,10 +171,80 @@ def _thai_space(text: str, cand: re.Match, model: Model) -> tuple[float, int, in
     return (score if not text[cand.start() - 1].isdigit() else score - 3, cand.start(), cand.end())
 
 
+#: Shorter spans are unlikely; each character over the usual length costs a little.
+SHORT, USUAL, LONGER = 4, 400, 0.001
+
+
 def _length(n: int) -> float:
-    if n < 4:
+    if n < SHORT:
         return -1.5
-    return 0.0 if n < 400 else -0.001 * (n - 400)
+    return 0.0 if n < USUAL else -LONGER * (n - USUAL)
+
+
+#: From so many candidates on, spans are not tried one by one.
+FEW = 13
+
+
+def _every_span(found: list[tuple[float, int, int]], begin: int, depths: list[int] | None) -> list[int]:
+    """For each end, from 1, before which end its span begins in the best division: all spans are tried."""
+    best, back = [0.0], [0]
+    for j, (score, left, _) in enumerate(found, 1):
+        top, arg = -1e9, 0
+        for i in range(j - 1, -1, -1):
+            span_at = found[i - 1][2] if i else begin
+            value = best[i] + _length(left - span_at)
+            if depths and depths[j] != depths[i]:
+                value -= 4
+            if value > top:
+                top, arg = value, i
+        best.append(top + score)
+        back.append(arg)
+    return back
+
+
+def _many_spans(found: list[tuple[float, int, int]], begin: int, depths: list[int] | None) -> list[int]:
+    """The same in linear time: of spans of usual length, and of long ones, only the best beginning of each depth is tried.
+
+    Ends rise from candidate to candidate, so beginnings pass from short to usual to long spans in order.
+    """
+    starts = [begin, *(right for _, _, right in found)]
+    best, back = [0.0], [0]
+    usual: dict[int | None, deque[int]] = {}  # depth (None: any) -> beginnings, best first, later ones behind
+    far: dict[int | None, int] = {}  # depth -> the best beginning of long spans
+    passed = gone = 0
+    for j, (score, left, _) in enumerate(found, 1):
+        while passed < j and left - starts[passed] >= SHORT:
+            for depth in (None, depths[passed]) if depths else (None,):
+                queue = usual.setdefault(depth, deque())
+                while queue and best[queue[-1]] <= best[passed]:
+                    queue.pop()
+                queue.append(passed)
+            passed += 1
+        while gone < passed and left - starts[gone] >= USUAL:
+            for depth in (None, depths[gone]) if depths else (None,):
+                held = far.get(depth)
+                if held is None or best[gone] + LONGER * starts[gone] >= best[held] + LONGER * starts[held]:
+                    far[depth] = gone
+            gone += 1
+        tried = list(range(j - 1, passed - 1, -1))
+        for depth in (None, depths[j]) if depths else (None,):
+            queue = usual.get(depth)
+            while queue and queue[0] < gone:
+                queue.popleft()
+            if queue:
+                tried.append(queue[0])
+            if depth in far:
+                tried.append(far[depth])
+        top, arg = -1e9, 0
+        for i in sorted(tried, reverse=True):
+            value = best[i] + _length(left - starts[i])
+            if depths and depths[j] != depths[i]:
+                value -= 4
+            if value > top:
+                top, arg = value, i
+        best.append(top + score)
+        back.append(arg)
+    return back
 
 
 def _cut(text: str, begin: int, end: int, model: Model, one_case: bool, out: list[tuple[int, int]]) -> None:
@@ -205,19 +275,7 @@ def _cut(text: str, begin: int, end: int, model: Model, one_case: bool, out: lis
             at = max(at, left)
             depths.append(depth + straight)
     n = len(found)
-    best = [0.0] * (n + 2)
-    back = [0] * (n + 2)
-    for j in range(1, n + 2):
-        score, left = (found[j - 1][0], found[j - 1][1]) if j <= n else (0.0, end)
-        top, arg = -1e9, 0
-        for i in range(j - 1, max(-1, j - 13), -1):
-            span_at = found[i - 1][2] if i else begin
-            value = best[i] + _length(left - span_at)
-            if depths and depths[j] != depths[i]:
-                value -= 4
-            if value > top:
-                top, arg = value, i
-        best[j], back[j] = top + score, arg
+    back = (_every_span if n < FEW else _many_spans)([*found, (0.0, end, end)], begin, depths)
     # a boundary is taken only if it pays: compare with running on
     ends, j = [], n + 1
     while j:

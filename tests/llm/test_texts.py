@@ -143,3 +143,34 @@ def test_boosting():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(int)
     model = boost(x[:1500], y[:1500])
     assert ((model.probability(x[1500:]) > 0.5) == y[1500:]).mean() > 0.97
+
+
+def test_sentences_over_many_candidates():
+    import random
+
+    from folioforge.llm import sentences as se
+
+    wrapped = "\n".join(["the report goes on with another line of the same long sentence"] * 30) + " and ends here."
+    assert se.split_sentences(wrapped, se.Model()) == [(0, len(wrapped))]
+    initials = "It was written by " + " ".join(f"{c}." for c in "ABCDEFGHIJKLMNOPQ") + " Smith in the end."
+    assert se.split_sentences(initials, se.Model()) == [(0, len(initials))]
+
+    def total(found, begin, depths, back):
+        value, j = 0.0, len(found)
+        while j:
+            i = back[j]
+            value += found[j - 1][0] + se._length(found[j - 1][1] - (found[i - 1][2] if i else begin)) - 4 * bool(depths and depths[i] != depths[j])
+            j = i
+        return value
+
+    rng = random.Random(2)
+    for n in range(1, 200):
+        at, found = 0, []
+        for _ in range(n):
+            left = at + rng.choice([1, 2, 5, 40, 150, 450])
+            at = left + rng.randint(0, 2)
+            found.append((rng.choice([-6.0, -4.0, -3.0, -0.5, 1.5, 2.0, 3.0]), left, at))
+        found.append((0.0, at + 30, at + 30))
+        for depths in (None, [0, *(rng.choice([0, 0, 1, 2]) for _ in found)]):
+            want = total(found, 0, depths, se._every_span(found, 0, depths))
+            assert abs(total(found, 0, depths, se._many_spans(found, 0, depths)) - want) < 1e-6
