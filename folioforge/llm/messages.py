@@ -22,8 +22,8 @@ PLACEHOLDERS = [
 
 #: What counts as an outer blank.
 BLANKS = " \t\r\n\x0b\x0c\u00a0\u3000\u200b\ufeff"
-#: Longer contents are never placeholders.
-LONGEST_PLACEHOLDER = 40
+#: More letters and digits than any placeholder has; contents that have so many need no closer look.
+MORE_THAN_PLACEHOLDERS = max(map(len, PLACEHOLDERS)) + 1
 
 
 def strip(c: Column) -> Column:
@@ -42,7 +42,8 @@ def role_of(role: Column) -> Column:
 def says_something(content: Column) -> Column:
     """False if content is null, holds no letter or digit of any script, or only stands for an absent value."""
     bare = F.lower(F.regexp_replace(content, r"[^\p{L}\p{M}\p{N}/ ]+", ""))
-    real = (F.length(content) > LONGEST_PLACEHOLDER) | ~strip(bare).isin(PLACEHOLDERS)
+    much = content.rlike(rf"(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{MORE_THAN_PLACEHOLDERS}}}")
+    real = much | ~strip(bare).isin(PLACEHOLDERS)
     return F.coalesce(content.rlike(r"[\p{L}\p{N}]") & real, F.lit(False))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -93,26 +92,25 @@ REFUSAL_STEMS = (
 )
 
 
-#: An answer longer than this says more than that it declines.
-LONGEST_REFUSAL = 1000
-#: Questions of more words than this are compared as bags of words only, since alignment takes the square.
-LONGEST_ALIGNED = 2000
+#: A run without a stop that is longer than this is no sentence that only declines.
+LONGEST_SENTENCE = 1000
 
 
 def is_refusal(answer: str) -> bool:
     """Declines and gives no answer: every sentence declines or apologises, and nothing substantial follows a 'but'."""
-    if len(answer) > LONGEST_REFUSAL:
-        return False
     low = answer.lower()
-    if not any(stem in low for stem in REFUSAL_STEMS) or not REFUSALS.search(answer):
+    if not any(stem in low for stem in REFUSAL_STEMS):
         return False
-    for sentence in _SENTENCE.findall(answer):
+    for m in _SENTENCE.finditer(answer):
+        sentence = m.group(0)
         if not re.search(r"\w", sentence) or APOLOGIES.match(sentence):
             continue
+        if len(sentence) > LONGEST_SENTENCE:
+            return False
         hit = REFUSALS.search(sentence)
         if not hit or _BUT.search(sentence, hit.end()):
             return False
-    return True
+    return bool(REFUSALS.search(answer))
 
 
 # ---------------------------------------------------------------- copies
@@ -122,29 +120,44 @@ _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 COPY_EXTRA = 4
 
 
+def in_order(q: list[str], a: list[str]) -> int:
+    """How many words of q stand in a in the same order: the longest common subsequence, all places of q at once as bits."""
+    least = min(len(q), len(a))
+    head = next((i for i in range(least) if q[i] != a[i]), least)
+    tail = next((i for i in range(least - head) if q[-1 - i] != a[-1 - i]), least - head)
+    same, q, a = head + tail, q[head : len(q) - tail], a[head : len(a) - tail]
+    places: dict[str, int] = {}
+    for i, word in enumerate(q):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(q)) - 1
+    free = full
+    for word in a:
+        hit = free & places.get(word, 0)
+        if hit:
+            free = ((free + hit) | (free - hit)) & full
+    return same + len(q) - free.bit_count()
+
+
 def is_copy(question: str, answer: str) -> bool:
     """Gives back the question and adds nothing but a label: at least 0.8 of its words in order, at most COPY_EXTRA others."""
-    if not 0.5 * len(question) - 20 <= len(answer) <= 4 * len(question) + 80:
-        return False
-    q, a = _TOKEN.findall(question.lower()), _TOKEN.findall(answer.lower())
-    if not q or not a:
+    q = _TOKEN.findall(question.lower())
+    if not q:
         return False
+    words = set(q)
+    allowed = COPY_EXTRA + 2 * (len(q[0]) == 1 and not q[0].isascii())
+    a, extra = [], 0
+    for m in _TOKEN.finditer(answer.lower()):
+        # most answers have too many other words early on
+        a.append(m.group(0))
+        extra += a[-1] not in words
+        if extra > allowed:
+            return False
     if q == a:
         return True
-    words = set(q)
     if len(words.intersection(a)) < 0.7 * len(words):
         return False
-    spare = Counter(a)
-    spare.subtract(q)
-    extra = sum(n for w, n in spare.items() if n > 0 and w not in words)
     common = sum((Counter(q) & Counter(a)).values())
-    allowed = COPY_EXTRA + 2 * (len(q[0]) == 1 and not q[0].isascii())
-    if common < 0.8 * len(q) or extra > allowed:
-        return False
-    if len(q) > LONGEST_ALIGNED:
-        return common >= 0.95 * len(q) and extra <= 0.05 * len(q)
-    kept = sum(b.size for b in SequenceMatcher(None, q, a, autojunk=False).get_matching_blocks())
-    if kept < 0.8 * len(q):
+    if common < 0.8 * len(q) or in_order(q, a) < 0.8 * len(q):
         return False
     rounds = max(1, round((len(a) - extra) / len(q)))
     return abs(len(a) - extra - rounds * len(q)) <= max(allowed, len(q) // 3) and extra <= max(2, len(q) // 2)

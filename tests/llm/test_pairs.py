@@ -153,3 +153,24 @@ def test_long_texts_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "s", "user", QUESTION, T0, "x"), (None, "s", "assistant", None, T0 + dt.timedelta(1), "x"), (None, None, None, None, None, None)], SCHEMA)
     assert pairs.broken_pairs(df).count() == 0
     assert {tuple(r) for r in dropped_sessions(df).collect()} == {("s", "missing_reply")}
+
+
+def test_rules_hold_at_every_length(spark):
+    from pyspark.sql import functions as F
+
+    from folioforge.llm import messages, pairs
+
+    words = [f"w{i % 700}x{i % 11}" for i in range(3000)]
+    question = " ".join(words)
+    assert pairs.is_copy(question, " ".join(w for i, w in enumerate(words) if i % 8))  # 87 % of the words
+    assert not pairs.is_copy(question, " ".join(words[1500:] + words[:1500]))
+    assert not pairs.is_copy(question, " ".join(words[::-1]))
+    assert pairs.is_copy("What is the plan?", " ".join(["What is the plan?"] * 12))
+    assert not pairs.is_copy("What is the plan?", "The plan is to move all books. " * 40)
+    refusal = "I'm sorry. I cannot help with that request. " * 60
+    assert pairs.is_refusal(refusal) and not pairs.is_refusal(refusal + "The books are on the second floor of the house.")
+    assert pairs.in_order(list("abcbdab"), list("bdcaba")) == 4
+
+    rows = [("null" + " " * 60,), ("-" * 50 + " N/A " + "." * 50,), ("a long content that says something, and goes on",), ("ok" + "." * 60,), ("-" * 60,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").coalesce(1).select(messages.says_something(F.col("c"))).collect()]
+    assert got == [False, False, True, True, False]
