@@ -29,12 +29,14 @@ class Boosted:
         return 1 / (1 + np.exp(-score))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 24, seed: int = 0) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 24, ridge: float = 1.0) -> Boosted:
     """Fit P(y = 1 | x). Splits maximise the second-order gain over quantile bins of each feature."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     n, width = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+    slots = max(map(len, edges)) + 2
+    flat = binned + np.arange(width) * slots  # one count serves all features
     rate_of_ones = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(rate_of_ones / (1 - rate_of_ones)))
     score = np.full(n, base)
@@ -51,20 +53,19 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: f
                 node[here] = 2 * k + 1
                 continue
             best = (1e-6, 0, np.inf)
-            whole_g, whole_h = g[here].sum(), h[here].sum()
-            for j in range(width):
-                if not len(edges[j]):
-                    continue
-                left_g = np.cumsum(np.bincount(binned[here, j], g[here], len(edges[j]) + 1))[:-1]
-                left_h = np.cumsum(np.bincount(binned[here, j], h[here], len(edges[j]) + 1))[:-1]
-                gain = left_g**2 / (left_h + 1) + (whole_g - left_g) ** 2 / (whole_h - left_h + 1) - whole_g**2 / (whole_h + 1)
-                i = int(gain.argmax())
-                if gain[i] > best[0]:
-                    best = (float(gain[i]), j, float(edges[j][i]))
+            own = flat[here].ravel()
+            sums = [np.bincount(own, np.repeat(v[here], width), width * slots).reshape(width, slots) for v in (g, h)]
+            (whole_g, whole_h), (left_g, left_h) = (v[0].sum() for v in sums), (v.cumsum(1)[:, :-1] for v in sums)
+            gains = left_g**2 / (left_h + ridge) + (whole_g - left_g) ** 2 / (whole_h - left_h + ridge) - whole_g**2 / (whole_h + ridge)
+            for j, gain in enumerate(gains):
+                if len(edges[j]):
+                    i = int(gain[: len(edges[j])].argmax())
+                    if gain[i] > best[0]:
+                        best = (float(gain[i]), j, float(edges[j][i]))
             f[k], t[k] = best[1], best[2]
             node[here] = 2 * k + 1 + (x[here, f[k]] > t[k])
         leaf = node - inner
-        values = rate * np.bincount(leaf, g, last) / (np.bincount(leaf, h, last) + 1)
+        values = rate * np.bincount(leaf, g, last) / (np.bincount(leaf, h, last) + ridge)
         score += values[leaf]
         all_f.append(f)
         all_t.append(t)

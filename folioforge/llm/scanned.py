@@ -1,6 +1,6 @@
 """Noise in text from scanned pages: page furniture, words split at line ends, misread characters, and their repair.
 
-Furniture and line joins are decided by boosted classifiers over pairs of lines; words (and Chinese characters in their
+Furniture (``furniture``) and line joins are decided by boosted classifiers over pairs of lines; words (and Chinese characters in their
 context) that the corpus does not know are looked up in an inverted index of character q-grams, and a boosted ranker
 chooses among the candidates. All classifiers are trained here, on a bounded number of examples made by damaging
 clean words and titles; the statistics they use cover all documents.
@@ -13,7 +13,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.boosting import Boosted, boost
+from folioforge.llm.furniture import Furniture, TitleIndex, _stops, _tidy, find_furniture, page_numbers, similarity, train_furniture  # noqa: F401
 from folioforge.session import cut
 
 #: Examples each classifier is trained on, and clean words they are made from, at most.
 EXAMPLES = 6_000
 TRAINING_WORDS = 4_000
+#: Documents the furniture classifiers learn from, at most, chosen by a hash of their ids, and the longest that is taken;
+#: their whole texts are laid out on pages. This bounds a sample for training only.
+TRAINING_DOCUMENTS, TRAINING_LENGTH = 1_000, 20_000
+#: Contents that are judged together, for the sake of the classifiers' speed.
+TOGETHER = 128
 #: Bits of the filter of known words and characters that is sent to the workers: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
 #: A word is known if clean texts hold it this often; a character in its context likewise.
@@ -48,352 +53,6 @@ _HAN = re.compile(r"[㐀-鿿]")
 _HYPHENS = "-­¬‐‑⁃"
 _SPLIT_END = re.compile(rf"([^\W\d_㐀-鿿]+(?:-[^\W\d_㐀-鿿]+)*)([{_HYPHENS}])$")
 _FIRST_WORD = re.compile(r"^[^\W\d_㐀-鿿]+(?:-[^\W\d_㐀-鿿]+)*")
-_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
-
-
-# ---------------------------------------------------------------- page furniture
-
-_DIGITS = "0-9lIOoi|"
-_PAGE_NUMBER = re.compile(
-    rf"^(?P<open>[-–—~\[(<·•*]*)\s*(?P<word>(?:page|p\.|seite|página|pág\.|第)\s*)?(?P<n>[{_DIGITS}]{{1,5}}|[ivxlcdm]{{1,8}})"
-    rf"(?:\s*(?P<of>/|of|von|de|sur)\s*(?P<m>[{_DIGITS}]{{1,5}}))?\s*(?P<unit>[页頁])?\s*(?P<close>[-–—~\])>·•*]*)$",
-    re.I,
-)
-_AS_DIGITS = str.maketrans("lIOoi|", "110011")
-_EDGE_NUMBER = re.compile(rf"^[{_DIGITS}]{{1,4}}(?: [.01])?\s{{2,}}(?=\S)|(?<=\S)\s{{2,}}(?:[.01] )?[{_DIGITS}]{{1,4}}$")
-_STOPS = frozenset(".!?。！？…．,，、;；:：”“»）)]")
-_NUMERIC = re.compile(r"^[\W\d]+$")
-_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
-_SEPARATED = re.compile(r"^(.{2,40}?)\s*[·|•–—-]\s+(.{2,80})$")
-
-
-def _roman(text: str) -> int | None:
-    total = 0
-    values = [_ROMAN[c] for c in text.lower()]
-    for a, b in zip(values, values[1:] + [0]):
-        total += -a if a < b else a
-    return total
-
-
-def page_numbers(lines: list[str]) -> dict[int, int]:
-    """Line -> page: lines that hold nothing but a page number. A bare number needs others that count on with it."""
-    found: list[tuple[int, int, tuple, bool]] = []
-    for i, line in enumerate(lines):
-        m = _PAGE_NUMBER.match(line)
-        if not m:
-            continue
-        raw = m["n"]
-        plain = raw.translate(_AS_DIGITS)
-        style = (m["open"], (m["word"] or "").strip().lower(), m["of"] or "", m["unit"] or "", m["close"])
-        sure = bool(m["of"] and m["m"] or m["word"] and (m["unit"] or m["word"]) or (m["open"] and m["close"]))
-        if not any(c.isdigit() for c in raw) and re.fullmatch(r"[ivxlcdm]+", raw, re.I):
-            found.append((i, _roman(raw), (*style, "roman"), sure))
-        if plain.isdigit() and (any(c.isdigit() for c in raw) or sure or len(raw) <= 3):
-            found.append((i, int(plain), (*style, ""), sure))
-    # the longest run that counts up by one, page after page, in one style
-    pages: dict[int, int] = {}
-    styles: dict[tuple, list] = {}
-    for f in found:
-        styles.setdefault(f[2], []).append(f)
-    for own in styles.values():
-        best: list[tuple[int, int]] = []
-        at: dict[int, int] = {}  # page -> where its longest run so far ends
-        for j, (line, n, _, _) in enumerate(own):
-            top = (1, -1)
-            for before in (n - 1, n - 2):
-                i = at.get(before)
-                if i is not None and line - own[i][0] >= 3 and best[i][0] + 1 > top[0]:
-                    top = (best[i][0] + 1, i)
-            best.append(top)
-            if n not in at or top[0] >= best[at[n]][0]:
-                at[n] = j
-        j = max(range(len(own)), key=lambda k: best[k][0])
-        chain = []
-        while j >= 0:
-            chain.append(own[j])
-            j = best[j][1]
-        if len(chain) >= 2 or (chain[0][3] and chain[0][1] <= 5000) or (chain[0][1] == 1 and chain[0][0] >= len(lines) - 2):
-            if len(chain) == 1 and not chain[0][3] and len(found) > 1:
-                continue
-            for line, n, _, _ in chain:
-                if pages.get(line) is None:
-                    pages[line] = n
-            if chain[0][3]:
-                # in a style that only page numbers have, misread ones belong too
-                for line, n, _, sure in own:
-                    if sure:
-                        pages.setdefault(line, n)
-    return pages
-
-
-def _tidy(line: str) -> str:
-    return (line if line.isprintable() else _CONTROL.sub("", line)).strip()
-
-
-def _has_edge_number(line: str) -> bool:
-    return ("  " in line or "\t" in line) and bool(_EDGE_NUMBER.search(line))
-
-
-def _bare_title(line: str) -> str:
-    if "  " in line or "\t" in line:
-        line = " ".join(_EDGE_NUMBER.sub("", line).split())
-    return line.casefold()
-
-
-def _stops(line: str) -> bool:
-    return line[-1:] in _STOPS
-
-
-def similarity(a: str, b: str) -> float:
-    """Share of equal characters at equal places, allowing one place of shift; for short lines of about equal length."""
-    if a == b:
-        return 1.0
-    if not a or not b or abs(len(a) - len(b)) > 3:
-        return 0.0
-    n = max(len(a), len(b))
-    from_left = sum(x == y for x, y in zip(a, b))
-    from_right = sum(x == y for x, y in zip(reversed(a), reversed(b)))
-    first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    mixed = first + next((i for i, (x, y) in enumerate(zip(a[first:][::-1], b[first:][::-1])) if x != y), min(len(a), len(b)) - first)
-    return max(from_left, from_right, min(mixed, min(len(a), len(b)))) / n
-
-
-def furniture_features(a: str, b: str, gap: int, width: int, edges: int) -> list[float]:
-    """Of two lines: how alike they are, without page numbers and case, how far apart, how short, how many at page edges."""
-    x, y = _bare_title(a), _bare_title(b)
-    return [
-        similarity(x, y),
-        float(min(gap, 40)),
-        max(len(a), len(b)) / max(width, 1),
-        float(edges),
-        float(_stops(a) + _stops(b)),
-        float(_has_edge_number(a) + _has_edge_number(b)),
-        float(a[:1].islower() + b[:1].islower()),
-    ]
-
-
-def find_furniture(raw: list[str], model: Boosted) -> tuple[dict[int, str], dict[int, int]]:
-    """({line: 'header' or 'page_number'}, pages) of one document's lines."""
-    lines = [_tidy(x) for x in raw]
-    pages = page_numbers(lines)
-    kinds = {i: "page_number" for i in pages}
-    solid = [i for i, x in enumerate(lines) if x]
-    if not solid:
-        return kinds, pages
-    lengths = sorted(len(lines[i]) for i in solid)
-    width = lengths[int(len(lengths) * 0.95)] if len(lengths) > 2 else lengths[-1]
-    edge = {solid[0]: 1, solid[-1]: 1}
-    fed = {i for i in solid if "\x0c" in raw[i]}  # a form feed begins a page
-    edge.update(dict.fromkeys(fed, 1))
-    for i in pages:
-        for step in (1, -1):
-            j = i + step
-            while 0 <= j < len(lines) and not lines[j]:
-                j += step
-            if 0 <= j < len(lines):
-                edge[j] = 1
-    can = [i for i in solid if i not in pages and len(lines[i]) <= 100 and not _NUMERIC.match(lines[i])]
-    short = [i for i in can if not _stops(lines[i]) and (len(lines[i]) < 0.85 * width or _has_edge_number(lines[i]))]
-    footers = [i for i in short if _SEPARATED.match(lines[i])]  # a label and a title
-    index = TitleIndex()
-    groups: list[list[int]] = []
-    for i in short:
-        bare = _bare_title(lines[i])
-        g = index.find(bare)
-        if g is None:
-            index.add(bare, len(groups))
-            groups.append([i])
-        else:
-            groups[g].append(i)
-    pairs, owners = [], []
-    for g, group in enumerate(groups):
-        for a, b in zip(group, group[1:]):
-            pairs.append(furniture_features(lines[a], lines[b], b - a, width, edge.get(a, 0) + edge.get(b, 0)))
-            owners.append((g, a, b))
-    titles = TitleIndex()
-    if pairs:
-        for (g, a, b), p in zip(owners, model.probability(np.array(pairs))):
-            if p > 0.5:
-                kinds[a] = kinds[b] = "header"
-                titles.add(_bare_title(lines[a]))
-    labelled_titles: dict[str, TitleIndex] = {}
-    for i in footers:
-        m = _SEPARATED.match(lines[i])
-        own_titles = labelled_titles.setdefault(m.group(1).casefold(), TitleIndex())
-        title = _bare_title(m.group(2))
-        own_titles.add(title, "once" if own_titles.find(title) is None else "again")
-    for i in footers:
-        m = _SEPARATED.match(lines[i])
-        title = _bare_title(m.group(2))
-        same_title = index.find(title) is not None
-        labelled = labelled_titles[m.group(1).casefold()].find(title) == "again"
-        if kinds.get(i) == "header" or same_title or labelled or (pages and edge.get(i) and re.search(r"\s[·|•]\s", lines[i])):
-            kinds[i] = "header"
-            titles.add(title)
-    numbered = [i for i in short if _has_edge_number(lines[i]) and i not in kinds]
-    for i in numbered:
-        if len(numbered) > 1 or i in fed or i == solid[0]:
-            kinds[i] = "header"
-            titles.add(_bare_title(lines[i]))
-    for i in footers:
-        j = i + 1
-        while j < len(lines) and not lines[j]:
-            j += 1
-        if kinds.get(i) is None and (j >= len(lines) or j in kinds or j in fed) and (kinds or fed):
-            kinds[i] = "header"
-            titles.add(_bare_title(_SEPARATED.match(lines[i]).group(2)))
-    if not kinds and not fed:
-        # two pages may carry two titles once each: one on top, the other where a sentence runs on across it
-        lone = [i for i in short if len(lines[i]) < 0.7 * width and not lines[i][:1].islower()]
-        inside = [i for i in lone if i != solid[0] and _open_before(lines, kinds, i)]
-        if lone and lone[0] == solid[0] and 1 <= len(inside) <= 4:
-            kinds.update(dict.fromkeys([solid[0], *inside], "header"))
-    if pages or kinds or fed:
-        # once a page's edges are known, a lone title at the top of a page is a running header too
-        tops = set()
-        for i in sorted(kinds):
-            j = i + 1
-            while j < len(lines) and (not lines[j]):
-                j += 1
-            tops.add(j)
-        for i in short:
-            bare = _bare_title(lines[i])
-            if i in kinds:
-                continue
-            alike = titles.find(bare) is not None
-            lone = len(lines[i]) < 0.75 * width and not lines[i][:1].islower() and (i in fed or not _open_before(lines, kinds, i))
-            if alike or _has_edge_number(lines[i]) and lone or (lone and (i == solid[0] or i in tops or i in fed)):
-                kinds[i] = "header"
-                titles.add(bare)
-    return kinds, pages
-
-
-class TitleIndex:
-    """Titles by pieces, so that one that is similar is found for certain, without comparing all.
-
-    Of a title of n characters at most n // 5 may differ from a similar one, so of one piece more than that (two at least,
-    as a lone insertion may fall inside one) some piece is intact, at its place from the left or from the right. All
-    titles that share a piece are compared, many at once where many do; the latest similar one counts.
-    """
-
-    MANY = 24
-
-    def __init__(self) -> None:
-        self.same: dict[str, object] = {}
-        self.by: dict[tuple[int, int, str], list[int]] = {}
-        self.titles: list[tuple[str, object]] = []
-        self.codes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.sizes: dict[int, int] = {}
-
-    @staticmethod
-    @lru_cache(4096)
-    def pieces(n: int) -> tuple[tuple[int, int], ...]:
-        parts = max(n // 5, 1) + 1
-        return tuple((n * i // parts, n * (i + 1) // parts) for i in range(parts) if n * i // parts < n * (i + 1) // parts)
-
-    def add(self, title: str, value: object = True) -> None:
-        known = title in self.same
-        self.same[title] = value
-        if known:
-            return
-        n, at = len(title), len(self.titles)
-        self.titles.append((title, value))
-        row = self.sizes.get(n, 0)
-        self.sizes[n] = row + 1
-        codes, ids = self.codes.get(n) or (np.zeros((4, n), np.uint32), np.zeros(4, np.int64))
-        if row == len(ids):
-            codes, ids = np.concatenate([codes, np.zeros_like(codes)]), np.concatenate([ids, np.zeros_like(ids)])
-        codes[row], ids[row] = _code_points(title), at
-        self.codes[n] = codes, ids
-        for begin, end in self.pieces(n):
-            self.by.setdefault((n, begin, title[begin:end]), []).append(at)
-
-    def find(self, title: str) -> object | None:
-        if title in self.same:
-            return self.same[title]
-        m = len(title)
-        best = -1
-        for n in range(max(1, m - 3), m + 4):
-            if n not in self.sizes:
-                continue
-            few: set[int] = set()
-            many = False
-            for begin, end in self.pieces(n):
-                for shift in {0, m - n}:
-                    if begin + shift < 0:
-                        continue
-                    hits = self.by.get((n, begin, title[begin + shift : end + shift]))
-                    if hits and hits[-1] > best:
-                        many = many or len(hits) > self.MANY
-                        few.update(hits[-self.MANY :])
-            for at in sorted(few, reverse=True):
-                if at <= best:
-                    break
-                if similarity(title, self.titles[at][0]) >= 0.8:
-                    best = at
-                    break
-            if many:
-                best = max(best, self._latest(title, n))
-        return self.titles[best][1] if best >= 0 else None
-
-    def _latest(self, title: str, n: int) -> int:
-        """The latest similar one of all titles of n characters: ``similarity`` for many at once."""
-        codes, ids = (x[: self.sizes[n]] for x in self.codes[n])
-        own = _code_points(title)
-        short = min(n, len(own))
-        left = codes[:, :short] == own[:short]
-        right = codes[:, ::-1][:, :short] == own[::-1][:short]
-        first = np.where(left.all(1), short, left.argmin(1))
-        last = np.where(right.all(1), short, right.argmin(1))
-        equal = np.maximum(np.maximum(left.sum(1), right.sum(1)), np.minimum(first + last, short))
-        found = ids[equal / max(n, len(own)) >= 0.8]
-        return int(found.max()) if len(found) else -1
-
-
-def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _open_before(lines: list[str], kinds: dict[int, str], i: int) -> bool:
-    """Whether the line right above is body text that runs on into this one."""
-    j = i - 1
-    return j >= 0 and bool(lines[j]) and j not in kinds and not _stops(lines[j])
-
-
-def train_furniture(titles: list[str], lines: list[str], seed: int = 3) -> Boosted:
-    """From titles damaged as headers are, against pairs of body lines and of different titles."""
-    rng = np.random.default_rng(seed)
-    titles = [t for t in titles if t] or ["Title of a document", "另一个标题"]
-    lines = [x for x in lines if x] or ["a line of running text that goes on", "一行正文的内容"]
-    x, y = [], []
-    for n in range(EXAMPLES // 2):
-        t = titles[rng.integers(len(titles))]
-        a, b = _damaged_title(t, rng, n), _damaged_title(t, rng, n)
-        width = int(rng.integers(max(len(a), len(b)) + 3, 2 * max(len(a), len(b)) + 40))
-        x.append(furniture_features(a, b, int(rng.integers(5, 60)), width, int(rng.integers(0, 3))))
-        y.append(1)
-        if n % 2:
-            a = lines[rng.integers(len(lines))]
-            b = lines[rng.integers(len(lines))] if n % 4 == 1 else a[: max(3, len(a) - int(rng.integers(1, 9)))] + "xyzw"[: rng.integers(0, 4)]
-        else:
-            a, b = t, titles[rng.integers(len(titles))]
-            if a == b:
-                b = a[::-1]
-        width = int(max(len(a), len(b), rng.integers(20, 80)))
-        x.append(furniture_features(a, b, int(rng.integers(1, 60)), width, int(rng.integers(0, 2))))
-        y.append(0)
-    return boost(np.array(x), np.array(y), trees=12)
-
-
-def _damaged_title(title: str, rng: np.random.Generator, n: int) -> str:
-    t = title.upper() if rng.random() < 0.3 else title
-    if rng.random() < 0.3 and len(t) > 4:
-        i = int(rng.integers(len(t)))
-        t = t[:i] + "01. "[rng.integers(4)] + t[i + 1 :]
-    if n % 3 == 0:
-        page = str(rng.integers(1, 90))
-        t = f"{page}    {t}" if rng.random() < 0.5 else f"{t}    {page}"
-    return t
 
 
 # ---------------------------------------------------------------- what the corpus knows
@@ -709,15 +368,17 @@ def body_lines(raw: list[str], kinds: dict[int, str]) -> Body:
     return body
 
 
-def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted, cache: dict[str, bool]) -> list[tuple[int, str, str, str, str]]:
-    """(line, kind, a, b, c): header and page_number as found; word (b: code of its line), han and split as questions to the corpus.
+def _inspect(
+    raw: list[str], kinds: dict[int, str], known: KnownUnits, open_: KnownUnits, cache: dict[str, bool]
+) -> list[tuple[int, str, str, str, str, int]]:
+    """(line, kind, a, b, c, at): header and page_number as found; word (b: code of its line), han and split as questions to the corpus.
+
+    ``at`` is the place of a character in its line, without outer blanks.
 
     Words and characters that the corpus may know after all are among the questions; ``unknown_words`` and
     ``unknown_characters`` take them out.
     """
-    raw = content.split("\n")
-    kinds, pages = find_furniture(raw, model)
-    out = [(i + 1, kind, "", "", "") for i, kind in kinds.items()]
+    out = [(i + 1, kind, "", "", "", -1) for i, kind in kinds.items()]
     body = body_lines(raw, kinds)
 
     def is_known(unit: str) -> bool:
@@ -730,14 +391,14 @@ def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted,
 
     cached = cache.get
     after_split = False
-    text, owner = [], []
+    text, owner, column = [], [], []
     for j, line in enumerate(body.lines):
         number, code = body.numbers[j], ""
         end = _SPLIT_END.search(line) if line[-1] in _HYPHENS and j + 1 < len(body.lines) else None
         first = _FIRST_WORD.match(body.lines[j + 1]) if end else None
         split = bool(end and first and first.group(0)[:1].islower())
         if split:
-            out.append((number, "split", end.group(1).lower(), first.group(0).lower(), end.group(2)))
+            out.append((number, "split", end.group(1).lower(), first.group(0).lower(), end.group(2), -1))
         low = line.lower()
         tokens = _TOKEN.findall(low)
         for word in tokens[int(after_split) : len(tokens) - int(split)]:
@@ -746,14 +407,16 @@ def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted,
                 continue
             if len(word) >= 3 and any(map(str.isalpha, word)):
                 code = code or f"{unit_code(line):x}"
-                out.append((number, "word", word, code, ""))
+                out.append((number, "word", word, code, "", -1))
         after_split = split
         if not line.isascii():
             if body.starts[j]:
                 text.append("\n")
                 owner.append(number)
+                column.append(-1)
             text.append(line)
             owner.extend([number] * len(line))
+            column.extend(range(len(line)))
     joined = "".join(text)
     if _HAN.search(joined):
         for m in re.finditer(r"[㐀-鿿]+", joined):
@@ -767,7 +430,7 @@ def _inspect(content: str, known: KnownUnits, open_: KnownUnits, model: Boosted,
             # a character is in doubt if no triple that holds it is known
             for p in range(n):
                 if miss[p] and (p == 0 or miss[p - 1]) and (p == n - 1 or miss[p + 1]):
-                    out.append((owner[begin + p], "han", run[p : p + 2], run[p + 2], run[p + 3 : p + 5]))
+                    out.append((owner[begin + p], "han", run[p : p + 2], run[p + 2], run[p + 3 : p + 5], column[begin + p]))
     return out
 
 
@@ -786,7 +449,8 @@ def unknown_characters(han: DataFrame, counts: DataFrame) -> DataFrame:
     return han.join(asked, ["a", "b", "c"])
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string()), ("at", pa.int32())])
+_FOUND_DDL = "doc_id long, line_no int, kind string, a string, b string, c string, at int"
 
 
 def _best_words(batches: Iterator[pa.RecordBatch], ranker: Boosted) -> Iterator[pa.RecordBatch]:
@@ -963,13 +627,25 @@ class Reader:
 
     counts: DataFrame
     known: KnownUnits
-    furniture: Boosted
+    furniture: Furniture
     ranker: Boosted
     signs: Boosted
     joins: Boosted
 
 
-def learn_reader(documents: DataFrame, content: str = "content", text: str = "text", title: str = "title") -> Reader:
+def training_pages(documents: DataFrame, key: str, text: str, title: str) -> list[tuple[str | None, str]]:
+    """(title, text) of at most TRAINING_DOCUMENTS documents, the same whatever the partitions."""
+    n = documents.count()
+    rank = F.pmod(F.xxhash64(F.lit(13), F.col(key)), F.lit(1 << 30))
+    whole = F.col(text).cast("string")
+    some = documents.filter((F.length(whole) > 0) & (F.length(whole) <= TRAINING_LENGTH))
+    if n > 4 * TRAINING_DOCUMENTS:
+        some = some.filter(rank < int(4 * TRAINING_DOCUMENTS / n * (1 << 30)))
+    rows = some.select(rank.alias("r"), F.col(title).cast("string").alias("title"), whole.alias("text")).orderBy("r", "title", "text").limit(TRAINING_DOCUMENTS)
+    return list(dict.fromkeys((r["title"], r["text"]) for r in rows.collect()))
+
+
+def learn_reader(documents: DataFrame, content: str = "content", text: str = "text", title: str = "title", key: str = "doc_id") -> Reader:
     """Counts over all documents; the classifiers are trained on at most EXAMPLES examples made from bounded samples."""
     counts = cut(unit_counts(documents, content, text))
     words = counts.filter((F.col("clean") >= KNOWN) & F.col("unit").rlike(r"^\p{L}{2,}$") & ~F.col("unit").rlike("[\\u3400-\\u9fff]"))
@@ -980,13 +656,12 @@ def learn_reader(documents: DataFrame, content: str = "content", text: str = "te
     )
     inside = (F.length("unit") == 3) & F.col("unit").rlike(r"^.[㐀-鿿].$")
     contexts = counts.filter((F.col("clean") >= KNOWN) & inside).orderBy(F.desc("clean"), "unit").limit(TRAINING_WORDS).collect()
-    sample = documents.select(F.col(title).cast("string"), F.substring(F.col(text).cast("string"), 1, 400)).limit(1000).collect()
-    lines = [x.strip()[:60] for r in sample if r[1] for x in re.split(r"(?<=[.。])|\n", r[1]) if x.strip()]
+    sample = training_pages(documents, key, text, title)
     pairs = [(r["unit"], r["clean"]) for r in top]
     return Reader(
         counts,
         known_units(counts),
-        train_furniture([r[0] for r in sample if r[0]], lines),
+        train_furniture([t for t, _ in sample if t], [x for _, x in sample]),
         train_words(pairs),
         train_signs([(r["unit"], r["clean"]) for r in contexts]),
         train_joins(pairs, [(r["unit"], r["n"]) for r in compounds]),
@@ -996,13 +671,13 @@ def learn_reader(documents: DataFrame, content: str = "content", text: str = "te
 def page_noise(
     documents: DataFrame, key: str = "doc_id", content: str = "content", text: str = "text", title: str = "title", reader: Reader | None = None
 ) -> DataFrame:
-    """(doc_id, line_no, defect, a, b): every disturbed line, with the word or character read and the one meant.
+    """(doc_id, line_no, defect, a, b, at): every disturbed line, with the word or character read and the one meant.
 
     defect is ``header``, ``page_number``, ``split_word`` (a, b: the two parts) or ``misread`` (a: as read, b: as
-    meant). Lines end at newline only and count from 1. Null and empty contents give no rows; pages without noise give
+    meant; at: the place of a Chinese character in its line without outer blanks, else -1). Lines end at newline only and count from 1. Null and empty contents give no rows; pages without noise give
     none; ids that repeat are treated row by row. Whole contents are read.
     """
-    reader = reader or learn_reader(documents, content, text, title)
+    reader = reader or learn_reader(documents, content, text, title, key)
     open_units = wrongly_held(documents, content, reader.known, reader.counts)
     shared = documents.sparkSession.sparkContext.broadcast((reader.known, open_units, reader.furniture))
 
@@ -1010,32 +685,32 @@ def page_noise(
         known, open_, model = shared.value
         cache: dict[str, bool] = {}
         for batch in batches:
-            rows = [
-                (k, *found)
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                if t
-                for found in _inspect(t, known, open_, model, cache)
-            ]
-            columns = list(zip(*rows)) if rows else [[]] * 6
+            pages = [(k, t.split("\n")) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+            rows = []
+            for at in range(0, len(pages), TOGETHER):
+                some = pages[at : at + TOGETHER]
+                for (k, raw), (kinds, _) in zip(some, model.of([raw for _, raw in some])):
+                    rows += [(k, *found) for found in _inspect(raw, kinds, known, open_, cache)]
+            columns = list(zip(*rows)) if rows else [[]] * len(_FOUND)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
     found = cut(
         documents.filter(F.col(content).isNotNull())
         .select(F.col(key).cast("long").alias("doc_id"), F.col(content).cast("string").alias("content"))
-        .mapInArrow(inspect, "doc_id long, line_no int, kind string, a string, b string, c string")
+        .mapInArrow(inspect, _FOUND_DDL)
     )
     counts = reader.counts
     furniture = found.filter(F.col("kind").isin("header", "page_number")).select(
-        "doc_id", "line_no", F.col("kind").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")
+        "doc_id", "line_no", F.col("kind").alias("defect"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), "at"
     )
 
     words = unknown_words(found.filter("kind = 'word'"), counts)
     fixed = corrected_words(words, counts, reader.ranker).filter("p > 0.5")
-    misread = words.select("doc_id", "line_no", "a").join(fixed, "a").select("doc_id", "line_no", F.lit("misread").alias("defect"), "a", F.col("meant").alias("b"))
+    misread = words.select("doc_id", "line_no", "a", "at").join(fixed, "a").select("doc_id", "line_no", F.lit("misread").alias("defect"), "a", F.col("meant").alias("b"), "at")
 
     han = unknown_characters(found.filter("kind = 'han'"), counts)
     signs = corrected_characters(han, counts, reader.signs)
-    misread_signs = han.join(signs, ["a", "b", "c"]).select("doc_id", "line_no", F.lit("misread").alias("defect"), F.col("b").alias("a"), F.col("meant").alias("b"))
+    misread_signs = han.join(signs, ["a", "b", "c"]).select("doc_id", "line_no", F.lit("misread").alias("defect"), F.col("b").alias("a"), F.col("meant").alias("b"), "at")
 
     splits = found.filter("kind = 'split'")
     total = (F.col("clean") + F.col("scanned")).cast("double")
@@ -1052,7 +727,7 @@ def page_noise(
     questions = splits.select("doc_id", "line_no", "a", "b", "c").join(asked, ["a", "b", "c"])
     model = reader.joins
     judged = questions.mapInArrow(lambda it: _judge_splits(it, model), "doc_id long, line_no int").withColumn("defect", F.lit("split_word"))
-    judged = judged.join(splits.select("doc_id", "line_no", "a", "b"), ["doc_id", "line_no"]).select("doc_id", "line_no", "defect", "a", "b")
+    judged = judged.join(splits.select("doc_id", "line_no", "a", "b"), ["doc_id", "line_no"]).select("doc_id", "line_no", "defect", "a", "b", F.lit(-1).alias("at"))
     return furniture.unionByName(misread).unionByName(misread_signs).unionByName(judged).distinct()
 
 
@@ -1060,20 +735,21 @@ def _repair(content: str, noise: list[dict]) -> str:
     """The paragraphs of one document as continuous text."""
     raw = content.split("\n")
     furniture = {x["line_no"] - 1: x["defect"] for x in noise if x["defect"] in ("header", "page_number")}
-    misread: dict[int, list[tuple[str, str]]] = {}
+    misread: dict[int, list[tuple[int, str, str]]] = {}
     split: dict[int, str] = {}
     for x in noise:
         if x["defect"] == "misread":
-            misread.setdefault(x["line_no"], []).append((x["a"], x["b"]))
+            misread.setdefault(x["line_no"], []).append((x["at"], x["a"], x["b"]))
         elif x["defect"] == "split_word":
             split[x["line_no"]] = x["a"]
     body = body_lines(raw, furniture)
     out: list[str] = []
     glue = ""
     for number, line, starts in zip(body.numbers, body.lines, body.starts):
-        for read, meant in misread.get(number, []):
-            if len(read) == 1 and _HAN.match(read):
-                line = line.replace(read, meant)
+        # characters at their places first, which keeps the length of the line; then words
+        for at, read, meant in sorted(misread.get(number, []), reverse=True):
+            if at >= 0:
+                line = line[:at] + meant + line[at + 1 :]
             else:
                 line = re.sub(rf"(?<![^\W_]){re.escape(read)}(?![^\W_])", lambda m, to=meant: _same_case(m.group(0), to), line, flags=re.I)
         if out and not starts:
@@ -1104,7 +780,7 @@ def repaired_pages(
     Contents without noise only have their lines joined. Null contents give no row. Documents must have distinct ids.
     """
     noise = page_noise(documents, key, content, text, title, reader)
-    per_document = noise.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "defect", "a", "b")).alias("noise"))
+    per_document = noise.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "defect", "a", "b", "at")).alias("noise"))
     pages = documents.filter(F.col(content).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(content).cast("string").alias("content"))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

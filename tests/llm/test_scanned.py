@@ -151,3 +151,37 @@ def test_many_alike_titles_compared_at_once():
     for title in titles[:60]:
         assert index.find(title[:12] + "0" + title[13:]) is not None
         assert index.find(title + "x") is not None
+
+
+def test_only_the_character_in_its_context_is_corrected():
+    noise = [{"line_no": 1, "defect": "misread", "a": "末", "b": "未", "at": 2}]
+    assert sc._repair("周末末来", noise) == "周末未来"
+
+
+def test_paragraphs_come_out_whole():
+    raw = "Title of it\nThe cata-\nlogue is wcll\nkept.\n\n  Next one\nends.\n- 1 -\nTITLE OF IT\nSo it\ngoes on."
+    noise = [
+        {"line_no": 1, "defect": "header", "a": None, "b": None, "at": -1},
+        {"line_no": 8, "defect": "page_number", "a": None, "b": None, "at": -1},
+        {"line_no": 9, "defect": "header", "a": None, "b": None, "at": -1},
+        {"line_no": 2, "defect": "split_word", "a": "cata", "b": "logue", "at": -1},
+        {"line_no": 3, "defect": "misread", "a": "wcll", "b": "well", "at": -1},
+    ]
+    assert sc._repair(raw, noise) == "The catalogue is well kept.\n\nNext one ends. So it goes on."
+
+
+def test_headers_are_decided_by_the_classifiers():
+    from folioforge.llm import furniture as fu
+    from folioforge.llm.boosting import Boosted
+
+    rng = np.random.default_rng(2)
+    titles = [" ".join(rng.choice(WORDS, 3)).capitalize() for _ in range(40)]
+    texts = ["\n".join(" ".join(rng.choice(WORDS, 40)) + "." for _ in range(12)) for _ in range(60)]
+    model = fu.train_furniture(titles, texts)
+    held = [fu.laid_out(titles[rng.integers(40)], texts[rng.integers(60)], titles, rng) for _ in range(80)]
+    found = model.of([lines for lines, _ in held])
+    want = {(k, i) for k, (_, kinds) in enumerate(held) for i, kind in kinds.items() if kind == "header"}
+    got = {(k, i) for k, (kinds, _) in enumerate(found) for i, kind in kinds.items() if kind == "header"}
+    assert len(want & got) > 0.9 * len(want) and len(got - want) < 0.1 * len(want)
+    never = Boosted(-9.0, np.zeros((1, 1), int), np.full((1, 1), np.inf), np.zeros((1, 2)))
+    assert not any("header" in kinds.values() for kinds, _ in fu.Furniture(never, never).of([lines for lines, _ in held]))
