@@ -1,7 +1,7 @@
 """Conversations from message rows: parent pointers resolved by pointer jumping, broken conversations dropped.
 
 ``resolve_paths`` takes any rows with parent pointers; ``conversations`` derives the pointers of a session from its
-order (each message answers the one before it) and resolves them the same way.
+order (each message answers the one before it) and resolves them the same way, from the first pointer to the root.
 """
 
 from __future__ import annotations
@@ -13,114 +13,87 @@ from folioforge.llm.messages import LONG_SESSION, in_sessions, says_something, s
 from folioforge.session import cut
 
 
-#: How many messages up the first pointer of a session reaches; its window hands it out with the parent.
-STRIDE = 16
-
-
-def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent", far: str | None = None) -> DataFrame:
-    """For each node (root, depth, fate), fate being ``rooted``, ``orphan`` or ``cycle``.
+def resolve_paths(nodes: DataFrame, node: str = "node", parent: str = "parent", within: str | None = None) -> DataFrame:
+    """For each node (root, depth, fate), fate being ``rooted``, ``orphan`` or ``cycle``; with ``within``, that column too.
 
     A null parent makes a root; a parent that is no node makes an orphan root, and all below it are orphans; nodes on a
     cycle, or that lead into one, are cycles with null root and depth. In each round every open node jumps to the
-    ancestor its ancestor has reached, so a chain of n nodes takes log2(n) joins, on two ids and a counter per row.
-    Rows without progress in a round can make none later. Repeated nodes (same id) must be removed before. ``far`` may
-    name a struct column (node, hops, open) with a sound ancestor further up, where one is at hand; jumping starts there.
+    ancestor its ancestor has reached, so a chain of n nodes takes log2(n) joins, on ids and a counter per row. Only the
+    nodes that are open move and are written. Rows without progress in a round can make none later. Repeated nodes (same
+    id) must be removed before. ``within`` names a column of groups that no pointer leaves; ids need be unique inside one
+    only.
     """
-    if far is not None:
-        state = nodes.select(
-            F.col(node).alias("node"),
-            F.col(f"{far}.node").alias("ancestor"),
-            F.col(f"{far}.hops").cast("long").alias("hops"),
-            F.col(f"{far}.open").alias("open"),
-            F.lit(False).alias("orphan"),
-        ).filter(F.col("node").isNotNull())
-        return _jump(state)
-    links = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).filter(F.col("node").isNotNull())
-    held = links.select(F.col("node").alias("parent"), F.lit(True).alias("held"))
-    state = links.join(held, "parent", "left").select(
+    group = F.col(within) if within else F.lit(0)
+    links = nodes.select(group.alias("within"), F.col(node).alias("node"), F.col(parent).alias("parent")).filter(F.col("node").isNotNull())
+    held = links.select("within", F.col("node").alias("parent"), F.lit(True).alias("held"))
+    start = links.join(held, ["within", "parent"], "left").select(
+        "within",
         "node",
         F.when(F.col("held"), F.col("parent")).otherwise(F.col("node")).alias("ancestor"),
         F.when(F.col("held"), 1).otherwise(0).cast("long").alias("hops"),
         F.coalesce("held", F.lit(False)).alias("open"),
         (F.col("parent").isNotNull() & F.col("held").isNull()).alias("orphan"),
     )
-    return _jump(state)
+    settled = _jump(cut(start))
+    closed = ~F.col("open")
+    return settled.select(
+        *([F.col("within").alias(within)] if within else []),
+        "node",
+        F.when(closed, F.col("ancestor")).alias("root"),
+        F.when(closed, F.col("hops")).alias("depth"),
+        F.when(~closed, "cycle").when(F.col("orphan"), "orphan").otherwise("rooted").alias("fate"),
+    )
 
 
-def _jump(state: DataFrame) -> DataFrame:
-    """Rounds of jumps until no node is open or none of them gets further."""
-    state = cut(state)
-    left = state.filter("open").count()
+def _jump(latest: DataFrame) -> DataFrame:
+    """Rounds of jumps until no node is open or none of them gets further: the last state of every node."""
+    settled = latest.filter(~F.col("open"))
+    left = latest.filter("open").count()
     while left:
-        reached = state.select(
+        moving = latest.filter("open")
+        reached = settled.unionByName(moving).select(
+            "within",
             F.col("node").alias("ancestor"),
             F.col("ancestor").alias("next"),
             F.col("hops").alias("more"),
             F.col("open").alias("still"),
             F.col("orphan").alias("lost"),
         )
-        jumped = state.filter("open").join(reached, "ancestor").select(
+        jumped = moving.join(reached, ["within", "ancestor"]).select(
+            "within",
             "node",
             F.col("next").alias("ancestor"),
             (F.col("hops") + F.col("more")).alias("hops"),
             F.col("still").alias("open"),
             F.col("lost").alias("orphan"),
         )
-        state = cut(state.filter(~F.col("open")).unionByName(jumped))
-        now = state.filter("open").count()
+        latest = cut(jumped)
+        settled = settled.unionByName(latest.filter(~F.col("open")))
+        now = latest.filter("open").count()
         if now == left:
             break
         left = now
-    closed = ~F.col("open")
-    return state.select(
-        "node",
-        F.when(closed, F.col("ancestor")).alias("root"),
-        F.when(closed, F.col("hops")).alias("depth"),
-        F.when(~closed, "cycle").when(F.col("orphan"), "orphan").otherwise("rooted").alias("fate"),
-    )
+    return settled.unionByName(latest.filter("open"))
 
 
 def linked_messages(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
     """Messages that say something, system rows left out, each with a pointer to the one before it in its session.
 
-    (node, parent, session, id, role, content, at, parent_role, far). Exact repeats (same id, time, role and content) count
-    once; order is time, then id, nulls first; rows that differ but share an id stay apart.
+    (session, node, parent, id, role, content, at); node is unique inside a session. Exact repeats (same id, time, role
+    and content) count once; order is time, then id, nulls first; rows that differ but share an id stay apart.
     """
     rows = in_sessions(chat).filter((F.col("role") != "system") & says_something(F.col("content")))
     rows = sliced(rows, chat, long_session)
-    order_columns = [F.col("at"), F.col("id"), F.col("context").desc(), F.col("role"), F.col("content")]
-    order = Window.partitionBy("session", "slice").orderBy(*order_columns)
+    order = Window.partitionBy("session", "slice").orderBy(F.col("at"), F.col("id"), F.col("context").desc(), F.col("role"), F.col("content"))
     same = F.lit(True)
     for c in ("at", "id", "role", "content"):
         same = same & F.lag(c).over(order).eqNullSafe(F.col(c))
     first = F.row_number().over(order) == 1
     rows = rows.withColumn("again", F.when(first, False).otherwise(same)).filter(~F.col("again") | F.col("context"))
-    # ids are unique in sound data; rows that share one are told apart by role and content
-    node = F.struct(
-        F.xxhash64("session").alias("s"),
-        F.col("id").alias("id"),
-        F.xxhash64(F.col("at").cast("string"), "role", "content").alias("v"),
-    )
-    rows = rows.drop("again").withColumn("node", node)
-    up = F.row_number().over(order) - 1
-    whole = Window.partitionBy("session", "slice").orderBy(*order_columns).rowsBetween(-STRIDE, Window.currentRow)
-    farthest = F.first(F.struct("node", "context")).over(whole)
-    return (
-        rows.withColumn("parent", F.lag("node").over(order))
-        .withColumn("parent_role", F.lag("role").over(order))
-        .withColumn("up", up)
-        .withColumn("farthest", farthest)
-        .filter(~F.col("context"))
-        .withColumn(
-            "far",
-            F.struct(
-                F.col("farthest.node").alias("node"),
-                F.least(F.col("up"), F.lit(STRIDE)).alias("hops"),
-                ((F.col("up") > STRIDE) | F.col("farthest.context")).alias("open"),
-            ),
-        )
-        .select("node", "parent", "session", "id", "role", "content", "at", "parent_role", "far")
-    )
+    # ids are unique in sound data; rows that share one are told apart by the rest
+    node = F.xxhash64("id", F.col("at").cast("string"), "role", "content")
+    rows = rows.drop("again").withColumn("node", node).withColumn("parent", F.lag("node").over(order))
+    return rows.filter(~F.col("context")).select("session", "node", "parent", "id", "role", "content", "at")
 
 
 def _drop_reason(messages: Column, unreadable: Column, first_assistant: Column, twice: Column, users: Column, answered: Column) -> Column:
@@ -135,47 +108,47 @@ def _count(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def session_verdicts(chat: DataFrame, resolved: DataFrame | None = None, long_session: int = LONG_SESSION) -> DataFrame:
+def session_verdicts(chat: DataFrame, linked: DataFrame | None = None, paths: DataFrame | None = None, long_session: int = LONG_SESSION) -> DataFrame:
     """(session, reason): reason is null for the conversations that are kept, else why one is dropped.
 
     ``empty``: no message that says something is left; ``broken``: an unreadable role, an assistant first, two assistant
-    messages in a row, or a path that is an orphan or a cycle; ``missing_reply``: a user message not directly followed
-    by an assistant message. Rows with null session_id belong to no session. An empty table gives no rows.
+    messages in a row, or a path that is an orphan or a cycle; ``missing_reply``: a user message that is not the parent
+    of an assistant message. Rows with null session_id belong to no session. An empty table gives no rows.
     """
-    paths = resolved if resolved is not None else resolved_messages(chat, long_session)
-    is_assistant, is_user = F.col("role") == "assistant", F.col("role") == "user"
-    facts = paths.groupBy("session").agg(
+    if linked is None:
+        linked = cut(linked_messages(chat, long_session).select("session", "node", "parent", "role"))
+    if paths is None:
+        paths = resolve_paths(linked, within="session")
+    above = linked.select("session", F.col("node").alias("parent"), F.col("role").alias("parent_role"))
+    is_assistant = F.col("role") == "assistant"
+    pairs = linked.join(above, ["session", "parent"], "left").groupBy("session").agg(
         F.count(F.lit(1)).alias("messages"),
-        _count((F.col("role") == "unreadable") | (F.col("fate") != "rooted")).alias("unreadable"),
-        _count(is_assistant & (F.col("depth") == 0)).alias("first_assistant"),
+        _count(F.col("role") == "unreadable").alias("unreadable"),
+        _count(is_assistant & F.col("parent_role").isNull()).alias("first_assistant"),
         _count(is_assistant & (F.col("parent_role") == "assistant")).alias("twice"),
-        _count(is_user).alias("users"),
+        _count(F.col("role") == "user").alias("users"),
         _count(is_assistant & (F.col("parent_role") == "user")).alias("answered"),
     )
+    fates = paths.groupBy("session").agg(_count(F.col("fate") != "rooted").alias("lost"), _count(F.col("depth") == 0).alias("roots"))
     sessions = in_sessions(chat).select("session").distinct()
-    return sessions.join(facts, "session", "left").select(
+    return sessions.join(pairs, "session", "left").join(fates, "session", "left").select(
         "session",
-        _drop_reason(*[F.col(c) for c in ("messages", "unreadable", "first_assistant", "twice", "users", "answered")]).alias("reason"),
+        _drop_reason(
+            F.col("messages"), F.col("unreadable") + F.col("lost") + F.greatest(F.col("roots") - 1, F.lit(0)), *[F.col(c) for c in ("first_assistant", "twice", "users", "answered")]
+        ).alias("reason"),
     )
 
 
-def resolved_messages(chat: DataFrame, long_session: int = LONG_SESSION, with_content: bool = False) -> DataFrame:
-    """linked_messages with (root, depth, fate) of each; content stays behind unless asked for."""
-    linked = linked_messages(chat, long_session)
-    kept = ["node", "parent", "session", "id", "role", "at", "parent_role", "far"] + (["content"] if with_content else [])
-    linked = cut(linked.select(*kept))
-    return linked.drop("parent", "far").join(resolve_paths(linked, far="far"), "node")
-
-
 def conversations(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
     """The conversations that are kept, one row per message: (session_id, turn, role, content, id, create_time).
 
     turn counts from 0 along the path from the root. The rows of a conversation are not gathered into one value, so a
     session of any length is fine.
     """
-    paths = cut(resolved_messages(chat, long_session, with_content=True))
-    kept = session_verdicts(chat, paths).filter(F.col("reason").isNull()).select("session")
-    return paths.join(kept, "session").select(
+    linked = cut(linked_messages(chat, long_session))
+    paths = resolve_paths(linked, within="session")
+    kept = session_verdicts(chat, linked, paths).filter(F.col("reason").isNull()).select("session")
+    return linked.join(kept, "session").join(paths.select("session", "node", "depth"), ["session", "node"]).select(
         F.col("session").alias("session_id"),
         F.col("depth").cast("int").alias("turn"),
         "role",
