@@ -209,6 +209,7 @@ _CLOSERS = "\"'”“’»」』）)\\]】〕*_ \\u00a0\\u3000\\u200b"
 _FINISHED = re.compile(rf"(?:[.!?。！？…।．‼⁉؟]|\.\.\.)[{_CLOSERS}]*$")
 _HANGING = re.compile(r"[,，、;；:：—–\-(（\[【{]\s*$")
 _INNER_STOP = re.compile(r"[.!?。！？…।．][”“»」』）)\]]*(?:\s+\S|(?<=[。！？…．”」）])\S)")
+_FINISHED_INSIDE = re.compile(r"[.!?…](?=\s)|[。！？।．]")
 _OPEN = {"（": "）", "(": ")", "【": "】", "[": "]", "「": "」", "『": "』", "«": "»"}
 _WORD = r"[^\W\d_㐀-鿿぀-ヿ฀-๿]+"
 _LAST_WORD = re.compile(rf"({_WORD})\s*$")
@@ -225,7 +226,7 @@ def _unclosed(text: str) -> bool:
         return True
     for opening, closing in _OPEN.items():
         at = text.rfind(opening)
-        if at >= 0 and text.find(closing, at) < 0 and len(text) - at < 80:
+        if at >= 0 and text.find(closing, at) < 0 and not _FINISHED_INSIDE.search(text, at):
             return True
     return False
 
@@ -270,7 +271,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 state, unit = ending_of(answer)
                 if state != "done":
-                    out.append((message_id, None, state, unit, answer if state == "ask" else None, len(answer)))
+                    out.append((message_id, None, state, unit, (bare := answer.rstrip()), len(bare)))
         columns = list(zip(*out)) if out else [[]] * len(_JUDGED)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _JUDGED)], schema=_JUDGED)
 
@@ -320,8 +321,12 @@ def unit_statistics(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: What an ending may add to a text that was cut: marks that stand for the rest.
+_REST = " \t\r\n\u00a0\u3000.…-–—"
+
+
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted texts of one partition: each text that the next different one continues; the edges are passed on."""
+    """Sorted texts of one partition: each text whose common prefix with the next different one is all of it; edges are passed on."""
     held: str | None = None
     part = None
     first = True
@@ -344,12 +349,14 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def shortened_versions(pairs: DataFrame) -> DataFrame:
     """(answer, inside_word): answers that another answer continues; inside_word if they end within a word of it.
 
-    If any text starts with this one, the next different text in sorted order does, so only neighbours are compared.
-    Texts are spread by range; the last text of a range is compared with the first of the next through their edges.
+    Marks that stand for what is left out do not count as text. If any text starts with this one, the next different text
+    in sorted order does, so only neighbours are compared. Texts are spread by range; the last text of a range is compared
+    with the first of the next through their edges.
     """
     ordered = (
         pairs.filter("says")
-        .select(F.rtrim("answer").alias("answer"))
+        .select(F.rtrim(F.rtrim("answer"), F.lit(_REST)).alias("answer"))
+        .filter(F.length("answer") > 0)
         .groupBy("answer")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("answer")
@@ -369,41 +376,75 @@ def shortened_versions(pairs: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == "short").select("answer", "inside_word").unionByName(bridged)
 
 
-def length_limits(judged: DataFrame, factor: float = 4.0, least: int = 20) -> DataFrame:
-    """(length): lengths at which answers without an ending pile up, against the lengths around them."""
-    sizes = judged.filter(F.col("state") == "ask").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    around = sizes.select(F.explode(F.array(*[F.col("length") + d for d in (-3, -2, -1, 1, 2, 3)])).alias("length"), "n")
-    usual = around.groupBy("length").agg((F.sum("n") / 6).alias("usual"))
-    return (
-        sizes.join(usual, "length", "left")
-        .filter((F.col("n") >= least) & (F.col("n") > factor * F.coalesce("usual", F.lit(0.0))) & (F.col("length") >= 100))
-        .select("length")
-    )
-
-
-def broken_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
-    """(message_id, defect) of each answer that is useless, one defect each.
+def length_limits(judged: DataFrame, answers: DataFrame | None = None, factor: float = 4.0, deviations: float = 8.0) -> DataFrame:
+    """(length): lengths at which answers without an ending pile up, against the lengths around them.
 
-    ``empty``, ``refusal``, ``copy``, ``wrong_language`` or ``truncated``, in this order of precedence. An answer is
-    truncated if it stops inside a bracket, code block or clause, if earlier sentences have an ending and the last has
-    none, or if its last word is one after which clauses in these answers never end (half words have no uses at all),
-    or if it ends within a word of a longer version, or stops without an ending at a length limit. A single sentence
-    or a heading without a full stop is not truncated. Null contents are empty; empty tables give no rows.
+    A pile is ``factor`` times what is usual, and further above it than chance explains: by so many standard
+    ``deviations`` of a count. Give each text once: copies of one answer are no limit. With ``answers`` (length of every
+    answer, each text once), the share without an ending must be twice what it is around: where short answers never have
+    one, their usual length is no limit.
     """
-    pairs = cut(answer_pairs(chat, long_session).withColumn("says", says_something(F.col("answer"))))
-    judged = cut(pairs.mapInArrow(_judge, "message_id long, defect string, state string, unit string, answer string, length int"))
-    sure = judged.filter(F.col("defect").isNotNull() | (F.col("state") == "open")).select(
-        "message_id", F.coalesce("defect", F.lit("truncated")).alias("defect")
-    )
-    doubtful = judged.filter(F.col("defect").isNull() & (F.col("state") == "ask"))
+    unfinished = F.col("state").isin("ask", "open")
+    near = F.array(*[F.col("length") + d for d in (-3, -2, -1, 1, 2, 3)])
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.groupBy("length").agg(F.count(F.lit(1)).alias(name))
+        around = own.select(F.explode(near).alias("length"), name).groupBy("length").agg((F.sum(name) / 6).alias(f"{name}_near"))
+        return own.join(around, "length", "left").fillna(0.0, [f"{name}_near"])
+
+    sizes = counted(judged.filter(unfinished), "n")
+    expected = F.col("n_near")
+    pile = (F.col("n") > factor * expected) & (F.col("n") - expected > deviations * F.sqrt(expected + 1))
+    found = sizes.filter(pile)
+    if answers is not None:
+        share, usual = F.col("n") / F.col("every"), F.col("n_near") / F.greatest(F.col("every_near"), F.lit(1e-9))
+        found = found.join(counted(answers, "every"), "length").filter(share > 2 * F.least(usual, F.lit(1.0)))
+    return found.select("length")
+
+
+def truncations(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    """(message_id, evidence) of the answers that break off, by the first evidence that holds.
+
+    ``prefix``: the sorted neighbour continues the answer within a word (one that ends with a word may be a short answer);
+    ``limit``: it has no ending and the length at which such answers pile up; ``ending``: it stops inside a
+    bracket, code block or clause, or its last sentence alone has no ending; ``unit``: its last word is one after which
+    clauses in these answers never end. Answers with a finished ending never count.
+    """
+    open_ones = judged.filter(F.col("defect").isNull() & (F.col("state") != "done"))
+    bare = open_ones.withColumn("answer", F.rtrim(F.col("answer"), F.lit(_REST)))
+    versions = shortened_versions(pairs)
+    inside = bare.join(versions.filter("inside_word").select("answer").distinct(), "answer", "left_semi").select("message_id")
+    texts = open_ones.groupBy(F.xxhash64("answer").alias("h")).agg(F.first("state").alias("state"), F.first("length").alias("length"))
+    lengths = pairs.filter("says").select(F.rtrim("answer").alias("a")).groupBy(F.xxhash64("a").alias("h")).agg(F.first(F.length("a")).alias("length"))
+    at_limit = open_ones.join(length_limits(texts, lengths), "length", "left_semi").select("message_id")
+    ending = open_ones.filter(F.col("state") == "open").select("message_id")
+    doubtful = open_ones.filter(F.col("state") == "ask")
     rare = (
         doubtful.select("unit").distinct().join(unit_statistics(pairs), "unit", "left")
         .filter(F.coalesce(F.col("stops"), F.lit(0)) < STOP_SHARE * F.coalesce(F.col("uses"), F.lit(0)) + 1e-9)
         .select("unit")
     )
-    by_unit = doubtful.join(rare, "unit", "left_semi")
-    inside = shortened_versions(pairs).filter("inside_word").select("answer").distinct()
-    by_version = doubtful.withColumn("answer", F.rtrim("answer")).join(inside, "answer", "left_semi")
-    by_limit = doubtful.join(length_limits(judged), "length", "left_semi")
-    late = by_unit.select("message_id").unionByName(by_version.select("message_id")).unionByName(by_limit.select("message_id"))
-    return sure.unionByName(late.distinct().withColumn("defect", F.lit("truncated"))).distinct()
+    by_unit = doubtful.join(rare, "unit", "left_semi").select("message_id")
+    found = None
+    for rank, (name, rows) in enumerate([("prefix", inside), ("limit", at_limit), ("ending", ending), ("unit", by_unit)]):
+        part = rows.select("message_id", F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("name")).alias("e"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("message_id").agg(F.min("e").alias("e")).select("message_id", F.col("e.name").alias("evidence"))
+
+
+def judged_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> tuple[DataFrame, DataFrame]:
+    """(pairs, judged): the pairs, and of answers with a defect or without an ending what is to be said of them."""
+    pairs = cut(answer_pairs(chat, long_session).withColumn("says", says_something(F.col("answer"))))
+    return pairs, cut(pairs.mapInArrow(_judge, "message_id long, defect string, state string, unit string, answer string, length int"))
+
+
+def broken_pairs(chat: DataFrame, long_session: int = LONG_SESSION) -> DataFrame:
+    """(message_id, defect) of each answer that is useless, one defect each.
+
+    ``empty``, ``refusal``, ``copy``, ``wrong_language`` or ``truncated``, in this order of precedence; ``truncations``
+    says what makes an answer truncated. A single sentence or a heading without a full stop alone is not. Null contents
+    are empty; empty tables give no rows.
+    """
+    pairs, judged = judged_pairs(chat, long_session)
+    sure = judged.filter(F.col("defect").isNotNull()).select("message_id", "defect")
+    return sure.unionByName(truncations(pairs, judged).select("message_id", F.lit("truncated").alias("defect"))).distinct()

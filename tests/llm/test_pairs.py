@@ -174,3 +174,23 @@ def test_rules_hold_at_every_length(spark):
     rows = [("null" + " " * 60,), ("-" * 50 + " N/A " + "." * 50,), ("a long content that says something, and goes on",), ("ok" + "." * 60,), ("-" * 60,)]
     got = [r[0] for r in spark.createDataFrame(rows, "c string").coalesce(1).select(messages.says_something(F.col("c"))).collect()]
     assert got == [False, False, True, True, False]
+
+
+def test_truncation_by_evidence(spark):
+    whole = "The index of the collection lists every book of the archive and where it stands"
+    answers = [whole[:30], whole + ".", whole[:27] + "...", "The index (see the second", LONG + " The collection is the"]
+    rows = [x for i, a in enumerate(answers) for x in ((f"s{i}", "user", QUESTION), (f"s{i}", "assistant", a))]
+    rows += [("t", "user", QUESTION), ("t", "assistant", "The index of the collection")]  # a short answer, for all we know
+    base = [("base", "user", "What is the index of the collection about?"), ("base", "assistant", LONG)] * 30
+    paired, judged = pairs.judged_pairs(chat(spark, rows + base))
+    got = {r["message_id"]: r["evidence"] for r in pairs.truncations(paired, judged).collect()}
+    assert got == {1: "prefix", 7: "ending", 9: "ending"}
+
+
+def test_copies_are_no_limit(spark):
+    text = "the register of the reading room is kept by the librarian of the house and nobody else"
+    rows = [x for i in range(120) for x in ((f"s{i}", "user", QUESTION), (f"s{i}", "assistant", text))]
+    limited = [x for i in range(120) for x in ((f"r{i}", "user", QUESTION), (f"r{i}", "assistant", f"{i:03d} books and {i * 7919 % 100003:06d} maps of the archive are the"))]
+    paired, judged = pairs.judged_pairs(chat(spark, rows + limited))
+    got = {r["message_id"]: r["evidence"] for r in pairs.truncations(paired, judged).collect()}
+    assert {k for k, e in got.items() if e == "limit"} == {2 * len(rows) // 2 + 2 * i + 1 for i in range(120)}
