@@ -8,6 +8,7 @@ each first half among its cells, the second halves are walked inside that block
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,9 @@ SAMPLE = 20_000
 #: Entries of a block beyond which it is parted, and vectors per cell that the number of centroids aims at.
 BLOCK_ROWS = 50_000
 CELL_ROWS = 100
+#: Entries of one cell beyond which it is hot: entries and askers are then parted by a hash, and every part of the
+#: entries meets every part of the askers in a task of its own.
+HOT_ROWS = 20_000
 #: Products held at once in a block.
 CHUNK = 4_000_000
 _SCALE = 32_767.0
@@ -74,12 +78,19 @@ def gathered_copies(rows: DataFrame, neighbours: int, n: int) -> tuple[DataFrame
 
 @dataclass
 class MultiIndex:
-    """Centroids of the two halves, and into how many parts each first-half block is split by its second halves."""
+    """Centroids of the two halves, and into how many parts each first-half block is split by its second halves.
+
+    hot gives for a cell (first, second) the parts of its entries, the parts of its askers and its first salt.
+    """
 
     halves: tuple[np.ndarray, np.ndarray]
     salts: np.ndarray
     dim: int
     probes: int
+    hot: dict[tuple[int, int], tuple[int, int, int]]
+
+    def groups(self) -> int:
+        return int(self.salts.sum()) + sum(e * q for e, q, _ in self.hot.values())
 
     def distances(self, unit: np.ndarray) -> list[np.ndarray]:
         cut = self.dim // 2
@@ -116,7 +127,7 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], (vectors[good] / norms[good][:, None]).astype(np.float32)
 
 
-def fit_index(rows: DataFrame, n: int, dim: int, probes: int, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> MultiIndex | None:
+def fit_index(rows: DataFrame, n: int, dim: int, probes: int, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, hot_rows: int = HOT_ROWS) -> MultiIndex | None:
     """Centroids from a bounded sample; their number grows with the root of the rows, so that cells keep their size."""
     k = int(np.clip(round((n / cell_rows) ** 0.5), 2, 1024))
     limit = max(sample, 40 * k)
@@ -129,10 +140,19 @@ def fit_index(rows: DataFrame, n: int, dim: int, probes: int, sample: int = SAMP
     if not len(points):
         return None
     cut = dim // 2
-    index = MultiIndex((k_means(points[:, :cut], k), k_means(points[:, cut:], k, seed=1)), np.ones(k, int), dim, probes)
-    first = index.distances(points)[0].argmin(axis=1)
-    expected = np.bincount(first, minlength=len(index.halves[0])) * (n / len(points))
-    index.salts = np.clip(np.ceil(expected / BLOCK_ROWS), 1, len(index.halves[1])).astype(int)
+    index = MultiIndex((k_means(points[:, :cut], k), k_means(points[:, cut:], k, seed=1)), np.ones(k, int), dim, probes, {})
+    kb = len(index.halves[1])
+    a, b = nearest_cells(*index.distances(points), probes)
+    rows_of = np.bincount(a[:, 0] * kb + b[:, 0], minlength=k * kb) * (n / len(points))
+    askers_of = np.bincount((a * kb + b).ravel(), minlength=k * kb) * (n / len(points))
+    is_hot = rows_of > hot_rows
+    expected = np.where(is_hot, 0, rows_of)[: len(index.halves[0]) * kb].reshape(-1, kb).sum(1)
+    index.salts = np.clip(np.ceil(expected / BLOCK_ROWS), 1, kb).astype(int)
+    free = index.salts.copy()
+    for c in np.nonzero(is_hot)[0]:
+        first, entry_parts, asker_parts = int(c // kb), int(-(-rows_of[c] // hot_rows)), int(-(-askers_of[c] // (4 * hot_rows)))
+        index.hot[first, int(c % kb)] = entry_parts, asker_parts, int(free[first])
+        free[first] += entry_parts * asker_parts
     return index
 
 
@@ -183,19 +203,39 @@ def _route(index: MultiIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
     first, second = index.distances(units)
     a, b = nearest_cells(first, second, index.probes)
     packed = np.round(units * _SCALE).astype(np.int16)
-    # one copy per distinct block and part of it
     n, t = a.shape
-    part = b % index.salts[a]
-    order = np.lexsort((part, a), axis=1)
-    flat_a, flat_p, flat_b = (np.take_along_axis(x, order, 1).ravel() for x in (a, part, b))
-    owner = np.repeat(np.arange(n), t)
-    new = np.r_[True, (flat_a[1:] != flat_a[:-1]) | (flat_p[1:] != flat_p[:-1]) | (owner[1:] != owner[:-1])]
+    owner, flat_a, flat_b, rank = np.repeat(np.arange(n), t), a.ravel(), b.ravel(), np.tile(np.arange(t), n)
+    hot = np.zeros(len(owner), bool)
+    if index.hot:
+        codes = np.array([x * 65_536 + y for x, y in index.hot])
+        hot = np.isin(flat_a * 65_536 + flat_b, codes)
+    # one copy per distinct block and part of it
+    x, y, who = flat_a[~hot], flat_b[~hot], owner[~hot]
+    part = y % index.salts[x]
+    order = np.lexsort((part, x, who))
+    x, y, who, part, own = x[order], y[order], who[order], part[order], rank[~hot][order] == 0
+    new = np.ones(len(who), bool)
+    new[1:] = (x[1:] != x[:-1]) | (part[1:] != part[:-1]) | (who[1:] != who[:-1])
     begins = np.nonzero(new)[0]
-    who, block, salt = owner[begins], flat_a[begins], flat_p[begins]
-    entry = (block == a[who, 0]) & (salt == part[who, 0])
-    lengths = np.diff(np.r_[begins, len(flat_a)])
+    lengths = np.diff(np.r_[begins, len(who)])
+    entry = np.logical_or.reduceat(own, begins) if len(begins) else np.zeros(0, bool)
+    copies = [(who[begins], x[begins], part[begins], entry, lengths)]
+    values = [y]
+    if hot.any():
+        ids = batch.column("id").take(pa.array(rows)).to_pylist()
+        for i in np.nonzero(hot)[0].tolist():
+            k, cell = int(owner[i]), (int(flat_a[i]), int(flat_b[i]))
+            entries, askers, base = index.hot[cell]
+            h = zlib.crc32(ids[k].encode("utf-8", "surrogatepass"))
+            asks = base + np.arange(entries) * askers + h % askers
+            copies.append((np.full(entries, k), np.full(entries, cell[0]), asks, np.zeros(entries, bool), np.ones(entries, int)))
+            values.append(np.full(entries, cell[1]))
+            if rank[i] == 0:
+                lies = base + (h >> 8) % entries * askers + np.arange(askers)
+                copies.append((np.full(askers, k), np.full(askers, cell[0]), lies, np.ones(askers, bool), np.zeros(askers, int)))
+    who, block, salt, entry, lengths = map(np.concatenate, zip(*copies))
+    values = np.concatenate(values)
     offsets = np.r_[0, np.cumsum(lengths)]
-    values = flat_b
     source = pa.array(rows[who])
     size = index.dim * 2
     vectors = pa.Array.from_buffers(
@@ -317,6 +357,8 @@ def nearest_vectors(
     sample: int = SAMPLE,
     fit_on: DataFrame | None = None,
     expected: int | None = None,
+    cell_rows: int = CELL_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(id, neighbour, similarity, place): for each row its ``neighbours`` most similar rows of other documents.
 
@@ -332,7 +374,7 @@ def nearest_vectors(
     rows = rows.select(F.col("id").cast("string").alias("id"), F.col("doc").cast("long").alias("doc"), F.col("embedding").cast("array<double>").alias("embedding"))
     n = rows.count() if expected is None else expected
     base = rows if fit_on is None else fit_on.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    index = fit_index(base, n, dim, probes, sample)
+    index = fit_index(base, n, dim, probes, sample, cell_rows, hot_rows)
     if index is None:
         return spark.createDataFrame([], "id string, neighbour string, similarity double, place int")
     classes, members = gathered_copies(rows, neighbours, n)
@@ -342,7 +384,9 @@ def nearest_vectors(
         for batch in batches:
             yield _route(shared.value, batch)
 
-    routed = classes.select("id", "doc", "embedding", "rows", "many").mapInArrow(route, _ROUTED_DDL)
+    # twice as many partitions as groups, so that a task holds about one block, whatever the number of rows
+    tasks = int(np.clip(2 * index.groups(), 8, 100_000))
+    routed = classes.select("id", "doc", "embedding", "rows", "many").mapInArrow(route, _ROUTED_DDL).repartition(tasks, "block", "salt")
     # only findings are left after this; both branches below read them
     hits = cut(routed.groupBy("block", "salt").applyInArrow(lambda t: _join_block(t, dim, neighbours, least), _HITS_DDL))
 
