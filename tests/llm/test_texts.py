@@ -31,10 +31,17 @@ def test_leaks(spark):
     ]
     got = leaks(spark, docs, [ITEM, ZH, None, "", "short one"])
     assert got == {(0, 0), (4, 0), (5, 0), (7, 0), (9, 0), (10, 1), (11, 1), (13, 0), (14, 0)}
-    assert leaks(spark, docs, [ITEM, ZH], block_tokens=10) == got  # item by item
+    assert leaks(spark, docs, [ITEM, ZH]) == got
     assert leaks(spark, [], [ITEM]) == set() and leaks(spark, docs, []) == set()
 
 
+def test_short_and_many_items(spark):
+    docs = [NOISE + "the short one. " + ITEM, "short, ONE", "one short", "开头目录更新结尾", None]
+    many = [f"item number {i} of many others that are in no document at all {i * 7919}" for i in range(3000)]
+    got = leaks(spark, docs, ["short one", "目录更新", ITEM, "", "...", *many])
+    assert got == {(0, 0), (1, 0), (3, 1), (0, 2)}
+
+
 def test_winnowing_keeps_the_guarantee():
     rng = np.random.default_rng(0)
     k, w = 5, 4
