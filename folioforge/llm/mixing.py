@@ -1,8 +1,7 @@
 """Mixing sources to target weights: raking (iterative proportional fitting), then sampling by calibrated weights.
 
 Sizes are tokens of a public tokenizer, counted where the texts are read. Only token totals per (source, language,
-topic) cell reach the driver; languages are two-letter codes and topics fall into a fixed number of buckets, so the
-number of cells is bounded whatever the corpus.
+topic) cell reach the driver, MAX_CELLS at most: with more, the fit asks for coarser topics (``buckets``) and stops.
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Topics are spread over this many buckets; targets may name at most MAX_SOURCES sources.
-TOPIC_BUCKETS = 64
+#: Targets may name at most MAX_SOURCES sources; the fit holds at most MAX_CELLS cells. More is an error, nothing is dropped.
 MAX_SOURCES = 2_000
+MAX_CELLS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -76,10 +75,14 @@ def _size(encoder, text: str | None, piece: int = 100_000) -> int:
 
 @dataclass
 class Plan:
-    """Expected copies per document of each (source, language, topic) cell, and what each source reaches."""
+    """Expected copies per document of each (source, language, topic) cell, and what each source reaches.
 
-    weights: list[tuple[str, str, int, float]]
+    residuals: what share of the mixture lies elsewhere than the language and the topic marginals ask for.
+    """
+
+    weights: list[tuple[str, str, str, float]]
     report: list[tuple[str, float, int, int, float, float, bool]]
+    residuals: tuple[float, float] = (0.0, 0.0)
 
 
 def rake(
@@ -138,15 +141,16 @@ def rake(
         (s, share[s], int(repeat[s]), int(sizes[i]), float(reached[i]), float(reached[i] / reached.sum()) if reached.sum() else 0.0, bool(short[i]))
         for i, s in enumerate(sources)
     ]
-    return Plan([(c[0], c[1], int(c[2]), float(w)) for c, w in zip(cells, weights)], report)
+    final = [np.abs(np.bincount(b, weights * tokens, len(m)) - m).sum() / 2 / max(mixed, 1e-9) for b, m in zip(by[1:], margins[1:])] if len(cells) else [0.0, 0.0]
+    return Plan([(c[0], c[1], c[2], float(w)) for c, w in zip(cells, weights)], report, (float(final[0]), float(final[1])))
 
 
-def _cell_columns(source: str, language: str, topic: str, buckets: int) -> dict[str, Column]:
+def _cell_columns(source: str, language: str, topic: str, buckets: int | None) -> dict[str, Column]:
     code = F.regexp_extract(F.lower(F.trim(F.col(language))), "^[a-z]{2}", 0)
     return {
         "source": F.col(source).cast("string"),
         "language": F.coalesce(F.nullif(code, F.lit("")), F.lit("??")),
-        "topic": F.when(F.col(topic).isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col(topic)), F.lit(buckets))).cast("int"),
+        "topic": F.coalesce((F.col(topic) if buckets is None else F.pmod(F.xxhash64(F.col(topic)), F.lit(buckets))).cast("string"), F.lit("")),
     }
 
 
@@ -167,11 +171,13 @@ def _named(documents: DataFrame, source: str, wanted: list[tuple[str, float, int
 
 def plan_mixture(sized: DataFrame, wanted: list[tuple[str, float, int]]) -> Plan:
     """The raked plan of documents with source, language, topic and tokens."""
-    cells = sized.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens")).collect()
-    return rake(sorted((r[0], r[1], r[2], r[3] or 0) for r in cells), wanted)
+    cells = sized.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).toArrow()
+    if cells.num_rows > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic: give topics in buckets")
+    return rake(sorted(zip(*(c.to_pylist() for c in cells.columns))), wanted)
 
 
-REPORT = "source string, target_share double, max_repeat int, tokens long, mixed_tokens double, reached_share double, short boolean"
+REPORT = "source string, target_share double, max_repeat int, tokens long, mixed_tokens double, reached_share double, short boolean, language_residual double, topic_residual double"
 
 
 def mixture_report(
@@ -182,16 +188,18 @@ def mixture_report(
     language: str = "lang",
     topic: str = "notebook_id",
     vocabulary: Vocabulary = Vocabulary(),
-    buckets: int = TOPIC_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per source with a target: its tokens, what the mixture takes of it, the share reached, and whether
     max_repeat copies of it stay below its target (``short``). Documents of null or other sources take no part; a
     source without documents is short unless its target is 0; targets with a null field are left out; of targets named
-    twice the largest holds. An empty corpus gives all shares 0."""
+    twice the largest holds. The residuals, the same in every row, tell what share of the mixture lies elsewhere than the
+    corpus's own language and topic shares ask for; the caps and the sources go first. An empty corpus gives all shares 0.
+    Topics are the values of ``topic``, or ``buckets`` of them by hash if there are too many to fit."""
     wanted = _targets(targets)
     sized = with_tokens(_named(documents, source, wanted), text, _cell_columns(source, language, topic, buckets), vocabulary)
     plan = plan_mixture(sized, wanted)
-    return documents.sparkSession.createDataFrame(plan.report, REPORT)
+    return documents.sparkSession.createDataFrame([(*row, *plan.residuals) for row in plan.report], REPORT)
 
 
 def mixture(
@@ -203,7 +211,7 @@ def mixture(
     language: str = "lang",
     topic: str = "notebook_id",
     vocabulary: Vocabulary = Vocabulary(),
-    buckets: int = TOPIC_BUCKETS,
+    buckets: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """(doc_id, source, tokens, copies): how often each document enters the mixture, documents with 0 copies left out.
@@ -215,11 +223,11 @@ def mixture(
     wanted = _targets(targets)
     sized = with_tokens(_named(documents, source, wanted), text, columns, vocabulary)
     plan = plan_mixture(sized, wanted)
-    weights = documents.sparkSession.createDataFrame(plan.weights, "source string, language string, topic int, weight double")
+    weights = documents.sparkSession.createDataFrame(plan.weights, "source string, language string, topic string, weight double")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # at most MAX_SOURCES x 677 x (buckets + 1) small rows, in practice hundreds
+    # one row per cell: Spark sends it to all tasks if it is small, else it parts hot cells on the other side
     return (
-        sized.join(F.broadcast(weights), ["source", "language", "topic"])
+        sized.join(weights, ["source", "language", "topic"])
         .withColumn("copies", (F.floor("weight") + (draw < F.col("weight") - F.floor("weight")).cast("int")).cast("int"))
         .filter("copies > 0")
         .select("doc_id", "source", "tokens", "copies")

@@ -9,6 +9,7 @@ balance. Which words open and which never close a sentence is learned from the l
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,7 @@ _OPENING, _CLOSING = "“„«「『（([【", "”»」』）)]】"
 _CAND = re.compile(rf"[{_STOPS}]+(?:[   ]?»|[”’」』）)\]】\"“*_])*|\n+|(?<=[^\s])[  　\t]+(?=[฀-๿])")
 _ASIAN = re.compile(r"[ऀ-෿฀-໿　-ヿ㐀-鿿가-힯＀-￯]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_WITH_STOPS = re.compile(r"[぀-ヿ㐀-鿿，、；：]")
 _TOKEN_BEFORE = re.compile(r"[^\s“”„«»「」\"（）()\[\]【】/]+$")
 _WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*")
 _THAI = re.compile(r"[฀-๿]{1,5}")
@@ -63,7 +65,24 @@ def _opening_word(text: str, at: int) -> str:
     return word.group(0) if word else ""
 
 
-def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one_case: bool) -> tuple[float, int, int] | None:
+class Marks:
+    """Where the quotation marks and brackets of a block stand, so that no candidate has to look back over all of it."""
+
+    def __init__(self, text: str, begin: int, end: int):
+        self.at: dict[str, list[int]] = {}
+        for m in _QUOTE.finditer(text, begin, end):
+            self.at.setdefault(m.group(0), []).append(m.start())
+
+    def before(self, mark: str, end: int) -> int:
+        """How many there are before ``end``."""
+        return bisect_left(self.at.get(mark, ()), end)
+
+    def last(self, mark: str, end: int) -> int:
+        n = self.before(mark, end)
+        return self.at[mark][n - 1] if n else -1
+
+
+def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one_case: bool, marks: Marks) -> tuple[float, int, int] | None:
     """(score, end of the left span, begin of the right one) of a candidate; None if it is none."""
     mark = cand.group(0)
     left = cand.end()
@@ -74,9 +93,9 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
         return _thai_space(text, cand, model)
     # which of the closing marks belong here: “ and \" close only what they opened
     while left > cand.start() + 1 and text[left - 1] in "“\"":
-        if text[left - 1] == "“" and text.find("„", begin, cand.start()) >= 0:
+        if text[left - 1] == "“" and marks.before("„", cand.start()):
             break
-        if text[left - 1] == '"' and text.count('"', begin, left) % 2 == 0:
+        if text[left - 1] == '"' and marks.before('"', left) % 2 == 0:
             break
         left -= 1
     right = left
@@ -94,7 +113,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
         return None
     if last in "”」』“\"»" and left - cand.start() > len(stop):
         opening = {"”": "“", "」": "「", "』": "『", "“": "„", '"': '"', "»": "«"}[last]
-        at = text.rfind(opening, begin, left - 1)
+        at = marks.last(opening, left - 1)
         before = text[max(begin, at - 8) : at].rstrip() if at >= 0 else ""
         if _ASIAN.match(text, right) or wide:
             # said after the quotation: what it is part of goes on, unless a colon introduced it
@@ -102,7 +121,7 @@ def _boundary(text: str, begin: int, cand: re.Match, end: int, model: Model, one
                 return (-3.0, left, right)
             score += 1
     elif last in "）)】]" and (_ASIAN.match(text, right) or wide):
-        at = max(text.rfind("（", begin, left), text.rfind("(", begin, left))
+        at = max(marks.last("（", left), marks.last("(", left))
         before = text[max(begin, at - 8) : at].rstrip() if at >= 0 else ""
         if before and before[-1] not in _STOPS + _CLOSING:
             return (-3.0, left, right)
@@ -150,6 +169,8 @@ def _line_end(text: str, begin: int, cand: re.Match, end: int, model: Model, one
         right += 1
     if right >= end or left <= begin or _CLOSED.search(text, max(begin, left - 8), left):
         return None
+    if _ASIAN.match(text[left - 1]) and _ASIAN.match(text[right]):
+        return (-4.0, left, right)  # kept in one block only where the line is wrapped
     start = text.rfind("\n", begin, left) + 1 or begin
     line = text[start:left].strip()
     above = text[max(begin, start - 12) : start].rstrip()
@@ -250,15 +271,16 @@ def _many_spans(found: list[tuple[float, int, int]], begin: int, depths: list[in
 def _cut(text: str, begin: int, end: int, model: Model, one_case: bool, out: list[tuple[int, int]]) -> None:
     """The best spans of text[begin:end] by dynamic programming over candidate ends."""
     found = []
+    marks = Marks(text, begin, end)
     for cand in _CAND.finditer(text, begin, end):
-        scored = _boundary(text, begin, cand, end, model, one_case)
+        scored = _boundary(text, begin, cand, end, model, one_case, marks)
         if scored:
             found.append(scored)
     if not found:
         out.append((begin, end))
         return
     depths = None
-    if _QUOTE.search(text, begin, end):
+    if marks.at:
         depths, depth, at, straight = [0], 0, begin, 0
         german = "„" in text[begin:end]
         for _, left, right in [*found, (0.0, end, end)]:
@@ -289,6 +311,27 @@ def _cut(text: str, begin: int, end: int, model: Model, one_case: bool, out: lis
         at = right
 
 
+#: A line of Chinese or Japanese (whose sentences end with a stop, unlike Thai) that is so long, and nearly as long as
+#: any around it, is wrapped and no heading.
+WRAPPED = 12
+
+
+def _widths(lines: list[str]) -> list[int]:
+    """For each line the length of the longest of the lines around it, up to the next blank ones."""
+    out = [0] * len(lines)
+    first = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not lines[i].strip():
+            longest = max((len(x.strip()) for x in lines[first:i]), default=0)
+            out[first:i] = [longest] * (i - first)
+            first = i + 1
+    return out
+
+
+def _runs_on(last: str, first: str, length: int, widest: int) -> bool:
+    return bool(_WITH_STOPS.match(last) and _WITH_STOPS.match(first)) and length >= WRAPPED and length >= 0.9 * widest
+
+
 def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence, heading or list item, in code points, without outer white space."""
     out: list[tuple[int, int]] = []
@@ -296,7 +339,9 @@ def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
     at = 0
     # in a text of one case, case says nothing about where sentences begin
     one_case = text[1:] == text[1:].lower() or text == text.upper()
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    widest = _widths(lines) if len(lines) > 1 and _ASIAN.search(text) else None
+    for number, line in enumerate(lines):
         start, at = at, at + len(line) + 1
         bare = line.strip()
         if not bare:
@@ -317,7 +362,9 @@ def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
                 begin = -1
             out.append((left, right))
             continue
-        if begin >= 0 and (_ASIAN.match(text[end - 1]) or _ASIAN.match(bare[0])):
+        if begin >= 0 and (_ASIAN.match(text[end - 1]) or _ASIAN.match(bare[0])) and not (
+            open_line and _runs_on(text[end - 1], bare[0], len(lines[number - 1].strip()), widest[number])
+        ):
             _cut(text, begin, end, model, one_case, out)
             begin = -1
         if begin < 0:

@@ -181,3 +181,25 @@ def test_sentences_over_many_candidates():
         for depths in (None, [0, *(rng.choice([0, 0, 1, 2]) for _ in found)]):
             want = total(found, 0, depths, se._every_span(found, 0, depths))
             assert abs(total(found, 0, depths, se._many_spans(found, 0, depths)) - want) < 1e-6
+
+
+def test_wrapped_lines_without_spaces():
+    text = "背景说明\n目前归档的采购清单比较了日常的流程\n图并且遗漏了新建的复习提纲同时拆分了\n版本说明。之后的一句话很短。\n\n下一个标题\n再来一句。"
+    assert pieces(text) == ["背景说明", "目前归档的采购清单比较了日常的流程\n图并且遗漏了新建的复习提纲同时拆分了\n版本说明。", "之后的一句话很短。", "下一个标题", "再来一句。"]
+
+
+def test_sentences_take_linear_time():
+    import time
+
+    for piece in ('He said "no." Then (he went.) On ', "“Yes.” ", "a.) ", "他说”。", "z. B. « oui. » "):
+        began = time.time()
+        sentences.split_sentences(piece * 20_000, MODEL)
+        assert time.time() - began < 30, piece
+
+
+def test_topics_are_raked_themselves(spark):
+    cells = [("a", "en", f"t{i}", 100 + i) for i in range(200)] + [("b", "en", f"t{i}", 50) for i in range(200)]
+    plan = mixing.rake(cells, [("a", 0.5, 2), ("b", 0.5, 3)])
+    assert max(plan.residuals) < 1e-3 and len({w[2] for w in plan.weights}) == 200
+    capped = mixing.rake([("a", "en", "x", 100), ("b", "de", "y", 100)], [("a", 0.9, 9), ("b", 0.1, 1)])
+    assert capped.residuals[0] > 0.3
