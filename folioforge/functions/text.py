@@ -26,8 +26,17 @@ def is_blank(c: Column) -> Column:
 
 
 def utf16_length(c: Column) -> Column:
-    """Length in UTF-16 units: characters outside the basic plane count two."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    """Length in UTF-16 units: characters outside the basic plane count two. Texts in ASCII are not encoded anew."""
+    encoded = (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(encoded)
+
+
+def utf16_prefix(c: Column, n: int) -> Column:
+    """The first n UTF-16 units; half of a character outside the basic plane is left out."""
+    units = F.encode(c, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * n - 1, 1)).rlike("^D[89AB]")
+    whole = F.decode(F.substring(units, F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    return F.when(utf16_length(c) == F.length(c), F.substring(c, 1, n)).otherwise(whole)
 
 
 def occurrences(text: Column, term: Column) -> Column:
@@ -67,8 +76,8 @@ def stem(name: Column) -> Column:
 def route_ids(route: Column) -> Column:
     """struct(notebook, document) of '#notebook/N' or '#notebook/N/document/M'; null where absent."""
     return F.struct(
-        F.nullif(F.regexp_extract(route, r"^#notebook/(\d+)", 1), F.lit("")).cast("long").alias("notebook"),
-        F.nullif(F.regexp_extract(route, r"^#notebook/\d+/document/(\d+)", 1), F.lit("")).cast("long").alias("document"),
+        F.nullif(F.regexp_extract(route, r"^#notebook/(\d+)", 1), F.lit("")).try_cast("long").alias("notebook"),
+        F.nullif(F.regexp_extract(route, r"^#notebook/\d+/document/(\d+)", 1), F.lit("")).try_cast("long").alias("document"),
     )
 
 
@@ -86,5 +95,5 @@ def merged_content(extra: Column, text: Column) -> Column:
 
 def token_estimate(c: Column, variant: str = "web") -> Column:
     """1.3 tokens a character, rounded down (web) or up (desktop); null and empty count 0."""
-    scaled = F.length(c) * F.lit(1.3)
+    scaled = utf16_length(c) * F.lit(1.3)
     return F.coalesce((F.floor(scaled) if variant == "web" else F.ceil(scaled)).cast("int"), F.lit(0))

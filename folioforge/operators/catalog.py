@@ -12,6 +12,11 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("create_time"), F.desc("id"))
 
 
+def without(df: DataFrame, *columns: str) -> DataFrame:
+    """What may be shown of a table: columns such as passwords left out, whether or not they are there."""
+    return df.drop(*columns)
+
+
 def owned(df: DataFrame, owner: str, user: int) -> DataFrame:
     return df.filter(F.col(owner) == user)
 

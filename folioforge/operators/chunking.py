@@ -9,6 +9,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One Chinese character, a run of Latin word characters, a run of blanks, or one other character; lossless.
 TOKEN_PATTERN = "[\\u4e00-\\u9fff]|[A-Za-z0-9_À-ɏ]+|[ \\t\\n\\r\\f]+|[^ \\t\\n\\r\\f]"
@@ -133,22 +134,30 @@ def split_semantic(text: str, size: int = 512, overlap: int = 50, tokenize: Toke
     return [chunk for chunk in ("".join(stream[a:b]) for a, b in spans) if chunk.strip()]
 
 
-def semantic_chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50, tokenizer_name: str = "simple") -> DataFrame:
-    """(doc, ordinal, id, text) by split_semantic, Arrow batches in and out. Blank and null texts give none."""
+def semantic_chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50, tokenizer_name: str = "simple", keep: list[str] | None = None) -> DataFrame:
+    """(doc, ordinal, id, text, ...) by split_semantic, Arrow batches in and out, with the columns ``keep`` of the document.
+
+    Blank and null texts give none.
+    """
     tokenize = tokenizer(tokenizer_name)
+    source = docs.select(F.col(key).cast("long"), F.col(text).cast("string"), *(keep or []))
     schema = pa.schema([("doc", pa.int64()), ("ordinal", pa.int32()), ("id", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (doc, i, f"doc:{doc}:chunk:{i}", chunk)
-                for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                (doc, i, f"doc:{doc}:chunk:{i}", chunk, at)
+                for at, (doc, whole) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
                 if whole and whole.strip()
                 for i, chunk in enumerate(split_semantic(whole, size, overlap, tokenize))
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
+            *columns, owners = zip(*rows) if rows else [[]] * 5
+            own = pa.array(owners, pa.int64())
+            kept = [batch.column(2 + j).take(own) for j in range(len(keep or []))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), *kept], names=[*schema.names, *(keep or [])])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc long, ordinal int, id string, text string")
+    out = T.StructType([*T.StructType.fromDDL("doc long, ordinal int, id string, text string").fields, *source.schema.fields[2:]])
+    return source.mapInArrow(run, out)
 
 
 def chunk_counts(chunks: DataFrame, docs: DataFrame, key: str) -> DataFrame:

@@ -21,7 +21,9 @@ def answer_text(raw: Column) -> Column:
 
 
 def citation_list(raw: Column) -> Column:
-    """array<struct<id, title, snippet>> of the part after the first rule; else the [n] in the answer, repeats kept."""
+    """array<struct<id, title, snippet>> of the part after the first rule; else the [n] in the answer, repeats kept.
+
+    A number that is no 32-bit integer gives an entry with a null id."""
     listed = F.get(F.split(raw, "---"), F.lit(1))
     entries = F.filter(F.transform(F.split(listed, r"(?=\[\d+\])"), _trim), lambda x: x != "")
 
@@ -29,12 +31,12 @@ def citation_list(raw: Column) -> Column:
         titled = F.regexp_extract(x, TITLED, 1) != ""
         simple = F.regexp_extract(x, SIMPLE, 1) != ""
         full = F.struct(
-            F.regexp_extract(x, TITLED, 1).cast("int").alias("id"),
+            F.regexp_extract(x, TITLED, 1).try_cast("int").alias("id"),
             _trim(F.regexp_extract(x, TITLED, 2)).alias("title"),
             _trim(F.regexp_extract(x, TITLED, 3)).alias("snippet"),
         )
         bare = F.struct(
-            F.regexp_extract(x, SIMPLE, 1).cast("int").alias("id"),
+            F.regexp_extract(x, SIMPLE, 1).try_cast("int").alias("id"),
             F.lit(SIMPLE_TITLE).alias("title"),
             _trim(F.regexp_extract(x, SIMPLE, 2)).alias("snippet"),
         )

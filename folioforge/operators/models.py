@@ -61,7 +61,8 @@ def register_llm(name: str, model: Model) -> None:
 
 
 def retried(call, argument, attempts: int = ATTEMPTS, delay: float = DELAY, factor: float = FACTOR):
-    """call(argument), tried again after ``delay`` seconds, longer each time, on connection errors only."""
+    """call(argument), tried again after ``delay`` seconds, ``factor`` times longer each time (1: always the same, as for
+    fetching files), on connection errors only."""
     for attempt in range(attempts):
         try:
             return call(argument)

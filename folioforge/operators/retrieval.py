@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import occurrences
-from folioforge.operators.vectors import similarity_search
+from folioforge.functions.text import occurrences, utf16_length
+from folioforge.operators.vectors import cosine, similarity_search
 
 DEPTH, RRF, THRESHOLD = 30, 60, 0.35
 
@@ -21,7 +21,7 @@ def query_terms(question: Column) -> Column:
 def keyword_score(text: Column, terms: list[str]) -> Column:
     """Sum over terms of occurrences per hundred characters, in lower case; substrings count, words need not match."""
     low = F.lower(text)
-    n = F.length(text)
+    n = utf16_length(text)
     total = F.lit(0.0)
     for term in terms:
         total = total + F.when(n > 0, occurrences(low, F.lit(term)) / (n / F.lit(100.0))).otherwise(0.0)
@@ -77,3 +77,39 @@ def hybrid_search(
     hits = similarity_search(rows, query, depth, only, digits)
     words = keyword_search(rows, terms_of(rows.sparkSession, question), depth, only, digits)
     return fuse(hits, words, k, threshold)
+
+
+def terms_score(text: Column, terms: Column) -> Column:
+    """keyword_score where the terms are a column: one question per row."""
+    low, n = F.lower(text), utf16_length(text)
+    one = lambda t: occurrences(low, t) / (n / F.lit(100.0))
+    return F.when(n > 0, F.aggregate(terms, F.lit(0.0), lambda s, t: s + one(t))).otherwise(F.lit(0.0))
+
+
+def hybrid_search_many(
+    rows: DataFrame, questions: DataFrame, k: int = 5, threshold: float = THRESHOLD, depth: int = DEPTH, digits: int | None = None, rrf: int = RRF
+) -> DataFrame:
+    """(question_id, id, vector_score, rrf_score, place): hybrid_search for many questions at once.
+
+    rows is (id, document_id, text, embedding, ord), questions (question_id, document_id, question, embedding) with one row
+    per document a question may use. Both searches join on the document and keep ``depth`` rows a question in each task
+    before the ranking is shuffled. A null embedding leaves the keyword search only, a question without terms the vectors.
+    """
+    rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")
+
+    def best(scored: DataFrame, rank: str) -> DataFrame:
+        return scored.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= depth)
+
+    asked = questions.filter(F.col("embedding").isNotNull()).select("question_id", "document_id", F.col("embedding").alias("_q"))
+    vectors = rows.select("id", "document_id", "embedding", "ord").join(asked, "document_id").withColumn("score", rounded(cosine(F.col("embedding"), F.col("_q"))))
+    worded = questions.select("question_id", "document_id", query_terms(F.col("question")).alias("_t")).filter(F.size("_t") > 0)
+    words = rows.select("id", "document_id", "text", "ord").join(worded, "document_id").withColumn("score", rounded(terms_score(F.col("text"), F.col("_t"))))
+    v = best(vectors, "rv").select("question_id", "id", F.col("score").alias("vector_score"), "rv")
+    w = best(words.filter(F.col("score") > 0), "rk").select("question_id", "id", "rk")
+    part = lambda c: F.coalesce(F.lit(1.0) / (rrf + F.col(c)), F.lit(0.0))
+    fused = v.join(w, ["question_id", "id"], "full").withColumn("rrf_score", part("rv") + part("rk"))
+    if threshold > 0:
+        fused = fused.filter(F.col("vector_score").isNull() | (F.col("vector_score") >= threshold))
+    final = Window.partitionBy("question_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("rv"), "rk")
+    return fused.withColumn("place", F.row_number().over(final)).filter(F.col("place") <= k).select("question_id", "id", "vector_score", "rrf_score", "place")

@@ -13,6 +13,8 @@ from folioforge.operators.bloom import bloom_filter, might_contain
 
 #: Query vectors that one pass over the collection answers; bounds what is sent to the workers.
 QUERY_BLOCK = 4096
+#: Scores held at once: 32 MB.
+PRODUCTS = 4_000_000
 _EARLIEST = -(2**62)
 
 
@@ -108,24 +110,29 @@ def _partial(queries: list[int], matrix: np.ndarray, k: int, digits: int, exclud
             rows, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             lengths = np.diff(vectors.offsets.to_numpy())
             good = np.nonzero(lengths == matrix.shape[1])[0]
-            scores = np.zeros((len(rows), len(ids)))
             if len(good):
                 flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 x = flat[vectors.offsets.to_numpy()[:-1][good][:, None] + np.arange(matrix.shape[1])]
                 size = np.sqrt((x * x).sum(axis=1))
-                scores[good] = (x / np.where(size > 0, size, 1)[:, None]) @ safe.T
-            scores = np.round(scores, digits) + 0.0
-            if exclude_self:
-                scores[rows[:, None] == ids[None, :]] = -np.inf
+                x = x / np.where(size > 0, size, 1)[:, None]
             out_q, out_r, out_s = [], [], []
-            for j in range(len(ids)):
-                s = scores[:, j]
-                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                pick = np.nonzero((s >= least) & (s > -np.inf))[0]
-                pick = pick[np.lexsort((rows[pick], -s[pick]))][:k]
-                out_q.append(np.full(len(pick), ids[j]))
-                out_r.append(rows[pick])
-                out_s.append(s[pick])
+            # so many queries at once that their scores stay small
+            step = max(1, PRODUCTS // max(1, len(rows)))
+            for first in range(0, len(ids), step):
+                own = ids[first : first + step]
+                scores = np.zeros((len(own), len(rows)))
+                if len(good):
+                    scores[:, good] = safe[first : first + step] @ x.T
+                scores = np.round(scores, digits) + 0.0
+                if exclude_self:
+                    scores[own[:, None] == rows[None, :]] = -np.inf
+                for q, s in zip(own, scores):
+                    least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+                    pick = np.nonzero((s >= least) & (s > -np.inf))[0]
+                    pick = pick[np.lexsort((rows[pick], -s[pick]))][:k]
+                    out_q.append(np.full(len(pick), q))
+                    out_r.append(rows[pick])
+                    out_s.append(s[pick])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(c)) for c in (out_q, out_r, out_s)] if out_q else [[], [], []], schema=schema
             )

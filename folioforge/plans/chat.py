@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import token_estimate
 from folioforge.operators import citations as cite
 from folioforge.operators import history
-from folioforge.operators.context import message_list, user_prompt
+from folioforge.operators.context import CONTEXT_LABEL, QUESTION_LABEL, message_list, user_prompt
 from folioforge.plans import sql_text
 from folioforge.session import table
 from folioforge.streaming import answers as stream
@@ -36,7 +36,7 @@ def hist_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hist_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.cleared(_messages(spark, sf_dir), notebook_id=7).groupBy("role").agg(F.count(F.lit(1)).alias("messages"))
+    return history.cleared(_messages(spark, sf_dir), notebook_id=7).select("session_id", "id", "role")
 
 
 def hist_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def hist_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", (F.col("last") + 10_000_000).alias("id"), "document_id", "notebook_id", "user_id", F.col("at").alias("create_time"),
         F.lit("q").alias("question"), F.when(F.pmod("last", F.lit(2)) == 0, "a").otherwise("").alias("answer"),
     )
-    return history.append_turn(rows, turn).groupBy("session_id").agg(F.count(F.lit(1)).alias("messages"), F.max("id").alias("last"))
+    return history.append_turn(rows, turn).select("session_id", "id", "role", "document_id", F.md5("content").alias("content"))
 
 
 def hist_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ SQL = {
     "hist_order": f"SELECT session_id, id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY create_time, id) AS INTEGER) AS position FROM {_M}",
     "hist_truncate": f"SELECT session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY create_time DESC, id DESC) AS r FROM {_M}) WHERE r <= {2 * ROUNDS}",
     "hist_expire": f"SELECT session_id, id FROM {_M} WHERE create_time IS NULL OR create_time >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY",
-    "hist_clear": f"SELECT role, count(*) AS messages FROM {_M} WHERE notebook_id IS DISTINCT FROM 7 GROUP BY role",
+    "hist_clear": f"SELECT session_id, id, role FROM {_M} WHERE notebook_id IS DISTINCT FROM 7",
     "hist_tokens": f"""SELECT session_id, count(*) AS messages, CAST(sum(coalesce(CAST(ceil(length(content) * 1.3::DOUBLE) AS BIGINT), 0)) AS BIGINT) AS tokens
         FROM {_M} GROUP BY session_id""",
     "hist_over_limit": f"""SELECT * FROM (SELECT session_id, count(*) AS messages, CAST(sum({_TOKENS}) AS BIGINT) AS tokens FROM {_M} GROUP BY session_id)
@@ -150,24 +150,26 @@ SQL = {
         UNION ALL SELECT session_id, NULL, NULL, 'assistant', '【对话摘要】以下是之前对话的概要：' || chr(10) || left(string_agg({_LINE}, '' ORDER BY create_time, id), 100)
         FROM r WHERE large AND r > {KEEP} GROUP BY session_id)
       SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY create_time NULLS FIRST, id NULLS FIRST) AS INTEGER) AS position, role, md5(content) AS content FROM a""",
-    "hist_append": f"""SELECT session_id, count(*) + CASE WHEN max(id) % 2 = 0 THEN 2 ELSE 0 END AS messages,
-        CASE WHEN max(id) % 2 = 0 THEN max(id) + 10000001 ELSE max(id) END AS last FROM {_M} GROUP BY session_id""",
+    "hist_append": f"""WITH m AS (SELECT * FROM {_M}), t AS (SELECT session_id, max(id) AS last, arg_max_null(document_id, id) AS document_id FROM m GROUP BY session_id HAVING max(id) % 2 = 0)
+        SELECT session_id, id, role, document_id, md5(content) AS content FROM m
+        UNION ALL SELECT session_id, last + 10000000, 'user', document_id, md5('q') FROM t
+        UNION ALL SELECT session_id, last + 10000001, 'assistant', document_id, md5('a') FROM t""",
     "hist_speakers": f"SELECT CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS speaker, count(*) AS messages FROM {_M} GROUP BY 1",
     "turn_usage": f"""SELECT id, CAST(50 + before AS INTEGER) AS prompt, CAST(own AS INTEGER) AS completion, CAST(50 + before + own AS INTEGER) AS total FROM (
         SELECT id, role, {_TOKENS} AS own, coalesce(sum({_TOKENS}) OVER (PARTITION BY session_id ORDER BY create_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
         FROM {_M}) WHERE role = 'assistant'""",
-    "prompt_messages": f"""SELECT id, md5('system=system;user=' || '参考内容：' || chr(10) || 'context' || chr(10) || chr(10) || '问题：' || coalesce(content, '')) AS messages
+    "prompt_messages": f"""SELECT id, md5('system=system;user=' || '{CONTEXT_LABEL}' || chr(10) || 'context' || chr(10) || chr(10) || '{QUESTION_LABEL}' || chr(10) || coalesce(content, '')) AS messages
         FROM {_M} WHERE role = 'user'""",
     "citations": rf"""WITH a AS (SELECT id AS message_id, trim(string_split(content, '---')[1], {_JS}) AS answer, string_split(content, '---')[2] AS listed FROM {_A}),
       e AS (SELECT message_id, list_filter(list_transform(string_split(regexp_replace(coalesce(listed, ''), '(\[\d+\])', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, {_JS})), lambda x: x <> '') AS entries, answer FROM a),
       p AS (SELECT message_id, answer, list_filter(list_transform(entries, lambda x:
-          CASE WHEN regexp_matches(x, '\[(\d+)\]\s*【?文档?：?([^】]+)】?\s*(.+)') THEN
-            {{'id': CAST(regexp_extract(x, '\[(\d+)\]\s*【?文档?：?([^】]+)】?\s*(.+)', 1) AS INTEGER), 'title': trim(regexp_extract(x, '\[(\d+)\]\s*【?文档?：?([^】]+)】?\s*(.+)', 2), {_JS}),
-              'snippet': trim(regexp_extract(x, '\[(\d+)\]\s*【?文档?：?([^】]+)】?\s*(.+)', 3), {_JS})}}
-          WHEN regexp_matches(x, '\[(\d+)\]\s*(.+)') THEN {{'id': CAST(regexp_extract(x, '\[(\d+)\]\s*(.+)', 1) AS INTEGER), 'title': '参考来源', 'snippet': trim(regexp_extract(x, '\[(\d+)\]\s*(.+)', 2), {_JS})}} END),
+          CASE WHEN regexp_matches(x, '{cite.TITLED}') THEN
+            {{'id': TRY_CAST(regexp_extract(x, '{cite.TITLED}', 1) AS INTEGER), 'title': trim(regexp_extract(x, '{cite.TITLED}', 2), {_JS}),
+              'snippet': trim(regexp_extract(x, '{cite.TITLED}', 3), {_JS})}}
+          WHEN regexp_matches(x, '{cite.SIMPLE}') THEN {{'id': TRY_CAST(regexp_extract(x, '{cite.SIMPLE}', 1) AS INTEGER), 'title': '{cite.SIMPLE_TITLE}', 'snippet': trim(regexp_extract(x, '{cite.SIMPLE}', 2), {_JS})}} END),
           lambda x: x IS NOT NULL) AS parsed FROM e),
       f AS (SELECT message_id, CASE WHEN len(parsed) > 0 THEN parsed ELSE
-          list_transform(regexp_extract_all(answer, '\[(\d{{1,9}})\]', 1), lambda n: {{'id': CAST(n AS INTEGER), 'title': '未知来源', 'snippet': ''}}) END AS c FROM p)
+          list_transform(regexp_extract_all(answer, '\[(\d{{1,9}})\]', 1), lambda n: {{'id': CAST(n AS INTEGER), 'title': '{cite.INLINE_TITLE}', 'snippet': ''}}) END AS c FROM p)
       SELECT message_id, CAST(place AS INTEGER) AS place, c.id AS id, c.title AS title, c.snippet AS snippet FROM (
         SELECT message_id, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS place FROM f)""",
     "answer_parts": f"SELECT id, md5(trim(string_split(content, '---')[1], {_JS})) AS answer FROM {_A}",

@@ -55,25 +55,30 @@ def cascade_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each table after all logged deletions."""
     gone = table(spark, sf_dir, "deleted_documents").select(F.col("document_id").alias("id"))
     after = catalog.delete_document(_tables(spark, sf_dir), gone)
-    return _counts(after)
+    return _keys(after)
 
 
 def cascade_notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(catalog.delete_notebook(_tables(spark, sf_dir), NOTEBOOK))
+    return _keys(catalog.delete_notebook(_tables(spark, sf_dir), NOTEBOOK))
 
 
 def cascade_notebook_web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(catalog.delete_notebook(_tables(spark, sf_dir), NOTEBOOK, "web"))
+    return _keys(catalog.delete_notebook(_tables(spark, sf_dir), NOTEBOOK, "web"))
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
+def _keys(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, rows in tables.items():
-        part = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        part = rows.select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("row_key"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def users_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users without what may not be shown."""
+    return catalog.without(table(spark, sf_dir, "users"), "password", "email")
+
+
 def update_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing summaries set from a delta."""
     documents = _documents(spark, sf_dir)
@@ -123,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         notebooks_newest, notebook_documents, owned_orders, owner_exists, usernames_repeated, cascade_documents, cascade_notebook,
-        cascade_notebook_web, update_summaries, validate_notebooks, routes, session_counts, ingest_documents, summarise_documents,
+        cascade_notebook_web, users_shown, update_summaries, validate_notebooks, routes, session_counts, ingest_documents, summarise_documents,
     )
 }
 SQL = {
@@ -132,17 +137,18 @@ SQL = {
     "owned_orders": f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = {USER})",
     "owner_exists": "SELECT doc_id AS id, notebook_id FROM documents WHERE notebook_id IN (SELECT id FROM notebooks)",
     "usernames_repeated": "SELECT username, count(*) AS rows FROM users WHERE username IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "cascade_documents": f"""SELECT 'vectors' AS table_name, count(*) AS rows FROM vector_store WHERE metadata IS NOT NULL AND (metadata.documentid IS NULL OR metadata.documentid NOT IN {_GONE})
-        UNION ALL SELECT 'messages', count(*) FROM chat_messages WHERE document_id IS NULL OR document_id NOT IN {_GONE}
-        UNION ALL SELECT 'documents', count(*) FROM documents WHERE doc_id NOT IN {_GONE}""",
-    "cascade_notebook": f"""SELECT 'notebooks' AS table_name, count(*) AS rows FROM notebooks WHERE id <> 7
-        UNION ALL SELECT 'documents', count(*) FROM documents WHERE notebook_id IS DISTINCT FROM 7
-        UNION ALL SELECT 'vectors', count(*) FROM vector_store WHERE metadata IS NOT NULL AND (metadata.documentid IS NULL OR metadata.documentid NOT IN {_IN7})
-        UNION ALL SELECT 'messages', count(*) FROM chat_messages WHERE (document_id IS NULL OR document_id NOT IN {_IN7}) AND NOT (document_id IS NULL AND notebook_id IS NOT DISTINCT FROM 7)""",
-    "cascade_notebook_web": f"""SELECT 'notebooks' AS table_name, count(*) AS rows FROM notebooks WHERE id <> 7
-        UNION ALL SELECT 'documents', count(*) FROM documents WHERE notebook_id IS DISTINCT FROM 7
-        UNION ALL SELECT 'vectors', count(*) FROM vector_store WHERE metadata IS NOT NULL AND (metadata.documentid IS NULL OR metadata.documentid NOT IN {_IN7})
-        UNION ALL SELECT 'messages', count(*) FROM chat_messages WHERE NOT (document_id IS NULL AND notebook_id IS NOT DISTINCT FROM 7)""",
+    "cascade_documents": f"""SELECT 'vectors' AS table_name, id AS row_key FROM vector_store WHERE metadata IS NOT NULL AND (metadata.documentid IS NULL OR metadata.documentid NOT IN {_GONE})
+        UNION ALL SELECT 'messages', CAST(id AS VARCHAR) FROM chat_messages WHERE document_id IS NULL OR document_id NOT IN {_GONE}
+        UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN {_GONE}""",
+    "cascade_notebook": f"""SELECT 'notebooks' AS table_name, CAST(id AS VARCHAR) AS row_key FROM notebooks WHERE id <> 7
+        UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR) FROM documents WHERE notebook_id IS DISTINCT FROM 7
+        UNION ALL SELECT 'vectors', id FROM vector_store WHERE metadata IS NOT NULL AND (metadata.documentid IS NULL OR metadata.documentid NOT IN {_IN7})
+        UNION ALL SELECT 'messages', CAST(id AS VARCHAR) FROM chat_messages WHERE (document_id IS NULL OR document_id NOT IN {_IN7}) AND NOT (document_id IS NULL AND notebook_id IS NOT DISTINCT FROM 7)""",
+    "cascade_notebook_web": f"""SELECT 'notebooks' AS table_name, CAST(id AS VARCHAR) AS row_key FROM notebooks WHERE id <> 7
+        UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR) FROM documents WHERE notebook_id IS DISTINCT FROM 7
+        UNION ALL SELECT 'vectors', id FROM vector_store WHERE metadata IS NOT NULL AND (metadata.documentid IS NULL OR metadata.documentid NOT IN {_IN7})
+        UNION ALL SELECT 'messages', CAST(id AS VARCHAR) FROM chat_messages WHERE NOT (document_id IS NULL AND notebook_id IS NOT DISTINCT FROM 7)""",
+    "users_shown": "SELECT id, username FROM users",
     "update_summaries": f"SELECT doc_id AS id, title, CASE WHEN {_BLANK.format('summary')} THEN '{models.GENERATING}' ELSE summary END AS summary FROM documents",
     "validate_notebooks": f"""SELECT id, concat_ws('; ', CASE WHEN {_BLANK.format('name')} THEN 'name: must not be blank' END, CASE WHEN rtrim(name) IS DISTINCT FROM name OR name IS NULL THEN 'name: must have no outer blanks' END,
         CASE WHEN {_BLANK.format('description')} THEN 'description: must not be blank' END, CASE WHEN length(coalesce(description, '')) > 500 THEN 'description: too long' END) AS errors FROM notebooks""",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge import pipeline
-from folioforge.operators import context, retrieval, vectors
+from folioforge.functions.text import STRIP_WEB
+from folioforge.operators import context, models, retrieval, vectors
 from folioforge.plans import sql_text
+from folioforge.plans.text import semantic_sql
 from folioforge.session import table
 
 WORDS = "检索结果 retriever glossary"
@@ -135,6 +137,53 @@ def ctx_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("length"), F.md5(c).alias("context"))
 
 
+def hybrid_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document asked with its title and its first chunk: the five best of its chunks by both searches."""
+    rows = _current(spark, sf_dir)
+    asked = rows.filter(F.col("id").endswith(":chunk:0") & F.col("document_id").isNotNull()).select(
+        F.col("id").alias("question_id"), "document_id", F.col("title").alias("question"), "embedding"
+    )
+    found = retrieval.hybrid_search_many(rows, asked, 5, digits=9)
+    return found.select("question_id", "id", F.round("vector_score", 6).alias("vector_score"), F.round("rrf_score", 9).alias("rrf_score"), "place")
+
+
+def ask_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is told and asked about each document, and the fixed answer where there is nothing to ask."""
+    use = F.col("doc_id") % 2 == 0
+    scope = F.when(F.col("notebook_id").isNull(), "document").otherwise("notebook")
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(
+        "doc_id",
+        F.md5(context.system_prompt(scope, use)).alias("system"),
+        F.md5(context.several_prompt(F.coalesce("title", F.lit("")), F.col("content"))).alias("prompt"),
+        context.answer_or_notice(F.col("content"), F.lit("asked"), use).alias("answer"),
+    )
+
+
+def _unless_question(texts: list[str]) -> list:
+    """An embedder that fails for chunks with a question."""
+    return [None if "?" in t or "？" in t else [1.0] for t in texts]
+
+
+models.register_embedder("unless_question", _unless_question)
+
+
+def _reindexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _current(spark, sf_dir).select("id", "document_id", "title", "text", "embedding", "ord")
+    inside = table(spark, sf_dir, "documents").filter(F.col("notebook_id") == NOTEBOOK)
+    return pipeline.reindexed(rows, inside.select(F.col("doc_id").alias("id"), "title", F.col("text").alias("content")), embedder="unless_question")
+
+
+def reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection after the documents of a notebook were indexed anew; a document that failed keeps nothing."""
+    return _reindexed(spark, sf_dir)[0].select("id", "document_id")
+
+
+def reindex_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each of these documents, -1 where one of them failed."""
+    return _reindexed(spark, sf_dir)[1].select("id", "chunk_count")
+
+
 def ask_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document asked with its first chunk: the five chunks of it that are most similar."""
     rows = _current(spark, sf_dir)
@@ -189,12 +238,30 @@ _ASK = f"""SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY s
     SELECT q.id AS question_id, q.document_id AS question, r.id, r.ord, r.title, r.text, round({_cos("r.embedding", "q.embedding")}, 6) AS score
     FROM {CURRENT} q JOIN {CURRENT} r ON q.document_id = r.document_id WHERE q.id LIKE '%:chunk:0' AND q.embedding IS NOT NULL)"""
 
+_HAN, _LATIN = r"'[\x{4e00}-\x{9fff}]{2,}'", "'[a-zA-Z]{3,}'"
+_MANY = f"""
+  WITH q AS (SELECT *, list_filter(t, lambda x, i: list_position(t, x) = i) AS terms FROM (
+      SELECT id AS question_id, document_id, embedding, list_concat(regexp_extract_all(coalesce(title, ''), {_HAN}), list_transform(regexp_extract_all(coalesce(title, ''), {_LATIN}), lambda x: lower(x))) AS t
+      FROM {CURRENT} WHERE id LIKE '%:chunk:0' AND document_id IS NOT NULL)),
+    v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord) AS rv FROM (
+      SELECT q.question_id, r.id, r.ord, round({_cos("r.embedding", "q.embedding")}, 9) AS score FROM q JOIN {CURRENT} r ON q.document_id = r.document_id WHERE q.embedding IS NOT NULL)) WHERE rv <= 30),
+    w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord) AS rk FROM (
+      SELECT q.question_id, r.id, r.ord, round(list_sum(list_transform(q.terms, lambda x: (length(lower(r.text)) - length(replace(lower(r.text), x, ''))) / length(x) / (length(r.text) / 100.0::DOUBLE))), 9) AS score
+      FROM q JOIN {CURRENT} r ON q.document_id = r.document_id WHERE len(q.terms) > 0 AND length(r.text) > 0) WHERE score > 0) WHERE rk <= 30),
+    f AS (SELECT coalesce(v.question_id, w.question_id) AS question_id, coalesce(v.id, w.id) AS id, v.score AS vector_score, rv, rk,
+      coalesce(1.0::DOUBLE / (60 + rv), 0) + coalesce(1.0::DOUBLE / (60 + rk), 0) AS rrf_score FROM v FULL JOIN w ON v.question_id = w.question_id AND v.id = w.id)
+  SELECT question_id, id, round(vector_score, 6) AS vector_score, round(rrf_score, 9) AS rrf_score, place FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, rv NULLS LAST, rk) AS INTEGER) AS place FROM f WHERE vector_score IS NULL OR vector_score >= 0.35)
+  WHERE place <= 5"""
+_NEW = semantic_sql(f"SELECT doc_id, text FROM documents WHERE notebook_id = {NOTEBOOK}", 512, 50)
+_STATE = f"(SELECT doc_id, count(*) AS n, bool_or(text LIKE '%?%' OR text LIKE '%？%') AS broken FROM ({_NEW}) GROUP BY doc_id)"
+
 QUERIES = {
     f.__name__: f
     for f in (
         vec_current, vec_topk, vec_topk_filtered, vec_topk_in, vec_topk_batch, vec_cosine, vec_delete_ids, vec_delete_doc, vec_delete_logged,
         vec_upsert, query_terms, kw_topk, kw_scores, hybrid_rrf, ctx_blocks, ctx_budget, ctx_truncate,
-        ask_retrieve, ask_context,
+        ask_retrieve, ask_context, hybrid_many, ask_prompts, reindex, reindex_counts,
     )
 }
 SQL = {
@@ -231,6 +298,13 @@ SQL = {
       j AS (SELECT notebook_id, string_agg(piece, '' ORDER BY doc_id) || CASE WHEN max(total) > 50000 THEN {_N} || '...（更多文档内容因长度限制未纳入上下文）' ELSE '' END AS context FROM p GROUP BY notebook_id)
       SELECT n.notebook_id, CAST(length(coalesce(context, '该笔记本下的文档内容均为空，无法回答问题。')) AS INTEGER) AS length, md5(coalesce(context, '该笔记本下的文档内容均为空，无法回答问题。')) AS context
       FROM (SELECT DISTINCT notebook_id FROM documents WHERE notebook_id IS NOT NULL) n LEFT JOIN j ON n.notebook_id = j.notebook_id""",
+    "hybrid_many": _MANY,
+    "ask_prompts": f"""SELECT doc_id, md5(CASE WHEN notebook_id IS NOT NULL THEN '{context.SYSTEM_PROMPTS["notebook"]}' WHEN doc_id % 2 = 0 THEN '{context.SYSTEM_PROMPTS["document"]}' ELSE '{context.SYSTEM_PROMPTS["general"]}' END) AS system,
+        md5('{context.CONTEXT_LABEL}' || {_N} || CASE WHEN coalesce(content, '') = '' THEN '{context.NO_HITS}' ELSE content END || {_N} || {_N} || '{context.QUESTION_LABEL}' || {_N} || coalesce(title, '')) AS prompt,
+        CASE WHEN doc_id % 2 = 0 AND trim(coalesce(content, ''), {sql_text(STRIP_WEB)}) = '' THEN '{context.EMPTY_DOCUMENT}' ELSE 'asked' END AS answer FROM documents""",
+    "reindex": f"""SELECT id, document_id FROM {CURRENT} WHERE document_id IS NULL OR document_id NOT IN (SELECT doc_id FROM documents WHERE notebook_id = {NOTEBOOK})
+        UNION ALL SELECT 'doc:' || c.doc_id || ':chunk:' || c.ordinal, c.doc_id FROM ({_NEW}) c JOIN {_STATE} s ON c.doc_id = s.doc_id WHERE NOT s.broken""",
+    "reindex_counts": f"SELECT doc_id AS id, CAST(CASE WHEN broken THEN -1 ELSE n END AS INTEGER) AS chunk_count FROM {_STATE}",
     "ask_retrieve": f"SELECT question_id, place, id, score FROM ({_ASK}) WHERE place <= 5",
     "ask_context": f"""WITH c AS (SELECT question AS question_id, string_agg('[' || place || '] 来源：' || coalesce(title, '未知文档') || {_N} || text, {_N} || {_N} || '---' || {_N} || {_N} ORDER BY place) AS context
         FROM ({_ASK}) WHERE place <= 5 AND question IN (SELECT doc_id FROM documents) GROUP BY question)

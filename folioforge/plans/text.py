@@ -9,6 +9,7 @@ from folioforge.functions import text as fn
 from folioforge.operators import chunking, cleaning, models
 from folioforge.plans import sql_text
 from folioforge.session import table
+from folioforge.sources import files
 
 SIZE, OVERLAP = 128, 16
 
@@ -67,6 +68,22 @@ def chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_counts(chunks, docs.select("doc_id", "chunk_count"), "doc_id")
 
 
+def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded files of several kinds read and cleaned; unknown kinds and missing names come out as errors."""
+    rows = _docs(spark, sf_dir).filter(F.col("content").isNotNull())
+    kind = F.get(F.array(*[F.lit(x) for x in ("txt", "MD", "xyz")]), (F.col("doc_id") % 4).cast("int"))
+    name = F.when(kind.isNotNull(), F.concat(F.lit("file "), F.col("doc_id").cast("string"), F.lit("."), kind))
+    read = files.extracted(rows.select(name.alias("name"), F.encode("content", "UTF-8").alias("content")))
+    return read.select("name", F.md5("text").alias("text"), "error")
+
+
+def page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a remote parser gives them, joined: markdown first, else text, else nothing."""
+    page = lambda md, text: F.struct(md.alias("md"), text.alias("text"))
+    pages = F.array(page(F.col("summary"), F.col("title")), page(F.col("source"), F.col("lang")))
+    return _docs(spark, sf_dir).select("doc_id", files.joined_pages(pages).alias("joined"))
+
+
 def doc_summary_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy(models.summary_status(F.col("summary")).alias("status")).agg(F.count(F.lit(1)).alias("documents"))
 
@@ -178,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_control, clean_watermark, clean_repeated, clean_full_web, clean_full_desktop, paragraph_split, sentence_split,
-        chunk_sliding, chunk_semantic, chunk_count, doc_summary_status, summary_inputs, labels, merged_text,
+        extract_files, page_join, chunk_sliding, chunk_semantic, chunk_count, doc_summary_status, summary_inputs, labels, merged_text,
     )
 }
 SQL = {
@@ -195,6 +212,11 @@ SQL = {
         SELECT doc_id, list_filter(string_split(regexp_replace(text, '([。？！；\n])', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p
         FROM documents WHERE text IS NOT NULL)""",
     "chunk_sliding": _CHUNKS,
+    "extract_files": f"""SELECT CASE doc_id % 4 WHEN 0 THEN 'file ' || doc_id || '.txt' WHEN 1 THEN 'file ' || doc_id || '.MD' WHEN 2 THEN 'file ' || doc_id || '.xyz' END AS name,
+        CASE WHEN doc_id % 4 < 2 THEN cleaned END AS text,
+        CASE doc_id % 4 WHEN 2 THEN '{files.UNSUPPORTED}' || 'file ' || doc_id || '.xyz' WHEN 3 THEN '{files.NO_NAME}' END AS error
+        FROM (SELECT * FROM ({_clean_sql("web")}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE content IS NOT NULL))""",
+    "page_join": "SELECT doc_id, coalesce(summary, title, '') || chr(10) || chr(10) || coalesce(source, lang, '') AS joined FROM documents",
     "chunk_semantic": f"""SELECT doc_id AS doc, ordinal, 'doc:' || doc_id || ':chunk:' || ordinal AS id, text
         FROM ({semantic_sql("SELECT doc_id, text FROM documents", SIZE, OVERLAP)})""",
     "chunk_count": f"""SELECT d.doc_id, coalesce(CAST(c.n AS INTEGER), d.chunk_count) AS chunk_count FROM documents d

@@ -121,3 +121,18 @@ def test_long_sessions_stay_whole(spark):
         assert kept[0]["content"] == history.SUMMARY_PREFIX + "".join(map(line, range(n - 10)))
         assert [(r["position"], r["content"]) for r in kept[1:]] == [(i + 2, f"m{n - 10 + i}") for i in range(10)]
     assert history.transcripts(rows(spark, 8), rounds=1).first()["transcript"] == line(6) + line(7)
+
+
+def test_citations_with_long_numbers(spark):
+    df = spark.createDataFrame([(1, "see\n---\n[12345678901] far too long\n[2] 【文档：T】here")], "id long, raw string")
+    got = [(r["id"], r["title"], r["snippet"]) for r in citations.citations(df, "id", "raw").orderBy("place").collect()]
+    assert got == [(None, "参考来源", "far too long"), (2, "T", "here")]
+
+
+def test_notices_and_system_prompts(spark):
+    df = spark.createDataFrame([(1, " ", True), (2, None, False), (3, "text", True)], "id int, content string, use boolean")
+    got = df.select("id", context.answer_or_notice(F.col("content"), F.lit("asked"), F.col("use")).alias("a"), context.several_prompt(F.lit("q"), F.col("content")).alias("p")).orderBy("id").collect()
+    assert [r["a"] for r in got] == [context.EMPTY_DOCUMENT, "asked", "asked"]
+    assert context.NO_HITS in got[1]["p"] and "\ntext\n" in got[2]["p"]
+    said = df.select(context.system_prompt(F.lit("document"), F.col("use"), {"general": "own"}).alias("s"), context.system_prompt(F.lit("notebook"), F.col("use")).alias("n")).collect()
+    assert {r["n"] for r in said} == {context.SYSTEM_PROMPTS["notebook"]} and "own" in {r["s"] for r in said}

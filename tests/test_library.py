@@ -150,3 +150,39 @@ def test_write_collection(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     store.export_collection(rows, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_documents_that_come_again(spark, tmp_path):
+    from folioforge.streaming.ingest import current_chunks
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    row = {"id": 1, "title": "t", "create_time": "2026-01-02T03:04:05"}
+    (source / "1.json").write_text(json.dumps({**row, "content": "word word。" * 900}) + "\n" + json.dumps({"id": 2, "title": "u", "content": "stays"}) + "\n")
+    ingest(spark, str(source), str(out), str(tmp_path / "check")).awaitTermination(120)
+    (source / "2.json").write_text(json.dumps({**row, "title": "new", "content": "short now"}) + "\n")
+    ingest(spark, str(source), str(out), str(tmp_path / "check")).awaitTermination(120)
+    every, arrived = spark.read.parquet(str(out)), spark.read.parquet(f"{out}_arrived")
+    assert every.count() > 3
+    got = {r["id"]: r for r in current_chunks(every, arrived).collect()}
+    assert set(got) == {"doc:1:chunk:0", "doc:2:chunk:0"} and got["doc:1:chunk:0"]["text"].strip() == "short now"
+    assert got["doc:1:chunk:0"]["metadata"]["documenttitle"] == "new" and str(got["doc:1:chunk:0"]["create_time"]) == "2026-01-02 03:04:05"
+    assert got["doc:2:chunk:0"]["create_time"] is None
+
+
+def test_retry_may_be_constant(monkeypatch):
+    waits, tries = [], []
+    monkeypatch.setattr(models.time, "sleep", waits.append)
+
+    def flaky(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise ConnectionError
+        return x
+
+    assert models.retried(flaky, 7, factor=1.0) == 7 and waits == [1.5, 1.5]
+
+
+def test_columns_left_out(spark):
+    df = spark.createDataFrame([(1, "a", "secret")], "id long, username string, password string")
+    assert catalog.without(df, "password", "email").columns == ["id", "username"]

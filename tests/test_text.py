@@ -106,3 +106,21 @@ def test_small_functions(spark):
     ).first()
     assert list(row[:4]) == [4, "1.5 KB", "gz", "x.tar"] and tuple(row[4]) == (3, 9)
     assert list(row[5:]) == [9, 10, "0.0185", "补充说明\n\n---\n\n提取出的正文", "x", 2, "未知时间", "&lt;a &amp; &#39;b&#39;&gt;"]
+
+
+def test_lengths_in_utf16_units(spark):
+    rows = [("a😀b" * 4, 6), ("plain text", 5), ("😀😀", 3), ("😀😀", 4), ("中文字", 2), ("", 3), (None, 3)]
+    for text, n in rows:
+        df = spark.createDataFrame([(text,)], "c string").select(fn.utf16_length(F.col("c")), fn.utf16_prefix(F.col("c"), n))
+        length, prefix = df.first()
+        if text is None:
+            assert length is None and prefix is None
+            continue
+        units = text.encode("utf-16-be")
+        assert length == len(units) // 2 and prefix == units[: 2 * n].decode("utf-16-be", "ignore"), (text, n)
+
+
+def test_routes_with_long_numbers(spark):
+    df = spark.createDataFrame([("#notebook/99999999999999999999/document/3",), ("#notebook/4/document/5",), ("x",)], "r string")
+    got = [tuple(r[0]) for r in df.coalesce(1).select(fn.route_ids(F.col("r"))).collect()]
+    assert got == [(None, 3), (4, 5), (None, None)]

@@ -112,3 +112,18 @@ def test_fusion_keyword_only_regime(spark):
     order.sort(key=lambda x: -x[1][0])
     expected = [i for i, (s, vs) in order if vs is None or vs >= 0.35]
     assert [r["id"] for r in got] == expected
+
+
+def test_many_questions_as_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(f"r{i:03d}", " ".join(rng.choice(["needle", "hay", "straw", "检索"]) for _ in range(6)), i % 2, [rng.random() - 0.3, rng.random() - 0.5], i) for i in range(120)]
+    df = spark.createDataFrame(rows, ROW)
+    asked = [("a", 0, "needle", [1.0, 0.1]), ("b", 1, "检索 straw", [0.2, 1.0]), ("c", 0, None, [0.5, 0.5]), ("d", 1, "needle", None), ("e", 0, "hay", [1.0, 0.0]), ("e", 1, "hay", [1.0, 0.0])]
+    questions = spark.createDataFrame(asked, "question_id string, document_id long, question string, embedding array<double>")
+    got = {}
+    for r in retrieval.hybrid_search_many(df, questions, 6, digits=9).orderBy("question_id", "place").collect():
+        got.setdefault(r["question_id"], []).append(r["id"])
+    for name, documents in {"a": [0], "b": [1], "c": [0], "d": [1], "e": [0, 1]}.items():
+        question, vector = next((q, v) for i, _, q, v in asked if i == name)
+        one = retrieval.hybrid_search(df, vector, question or "", 6, F.col("document_id").isin(documents), digits=9).orderBy("place").collect()
+        assert got[name] == [r["id"] for r in one], name
