@@ -39,8 +39,8 @@ KNOWN = 3
 #: What recognition takes for what, as (read, meant); both directions of each are tried.
 CONFUSED = [
     ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("vv", "w"), ("b", "h"), ("c", "e"), ("f", "t"), ("1", "l"), ("1", "i"),
-    ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("6", "é"), ("9", "g"), ("2", "z"), ("l", "i"), ("n", "u"), ("y", "v"), ("q", "g"),
-    ("h", "li"), ("m", "rn"), ("d", "cl"), ("ii", "ü"), ("u", "ü"), ("é", "e"), ("è", "e"), ("ö", "o"), ("ä", "a"), ("ü", "u"), ("a", "o"), ("nn", "rm"), ("hs", "lis"), ("t", "f"), ("ni", "m"), ("in", "m"),
+    ("0", "o"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("2", "z"), ("l", "i"), ("n", "u"), ("y", "v"), ("q", "g"),
+    ("h", "li"), ("m", "rn"), ("d", "cl"), ("ii", "ü"), ("u", "ü"), ("é", "e"), ("è", "e"), ("ö", "o"), ("ä", "a"), ("ü", "u"), ("a", "o"), ("t", "f"), ("ni", "m"), ("in", "m"),
 ]
 _COST: dict[tuple[str, str], float] = {}
 for _a, _b in CONFUSED:
